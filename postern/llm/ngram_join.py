@@ -60,6 +60,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _seed(i: int) -> np.uint64:
+    return np.uint64(i * int(_MUL) & 0xFFFFFFFFFFFFFFFF)
+
+
 class Shingler:
     """Sorted distinct hashes of the word n-grams of whole texts."""
 
@@ -132,7 +136,7 @@ class Scheme:
             k, n1, spare = self.parts(band)
             if not k:
                 continue  # only equal sets could be linked, and these are one class
-            x = _mix(h + np.uint64(band) * _MUL)
+            x = _mix(h + _seed(band))
             cell = ((x >> np.uint64(20)) % np.uint64(n1 * self.n2)).astype(np.int64)
             order = np.argsort(cell, kind="stable")
             there, first = np.unique(cell[order], return_index=True)
@@ -142,7 +146,7 @@ class Scheme:
             at = np.arange(n1, dtype=np.uint64)
             each, strong = [], []
             for j, subset in enumerate(self.subsets):
-                seed = (np.uint64(band) * np.uint64(64) + np.uint64(j)) * _MUL
+                seed = _seed(64 * band + j)
                 sig = _mix(at * _MUL + seed)
                 for second in subset:
                     sig = _mix(sig * _MUL + acc[:, second])
