@@ -55,13 +55,14 @@ def order_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer, lineitem = _tables(spark, sf_dir, "orders", "customer", "lineitem")
     content = F.expr("translate(base64(CAST(repeat('p' || l_partkey || ';', CAST(l_quantity AS INT)) AS BINARY)), '\\r\\n', '')")
     part = F.concat(F.expr(PART_HEAD), content, F.lit("\n"))
-    lines = lineitem.groupBy("l_orderkey").agg(
+    # Both sides dealt by order key once, in a fixed number of parts: the mail is large beside its rows.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).repartition(n, "o_orderkey")
+    lines = lineitem.repartition(n, "l_orderkey").groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", part.alias("part")))).alias("parts")
     )
     lines = lines.select("l_orderkey", F.array_join(F.expr("transform(parts, p -> p.part)"), "").alias("parts"))
-    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(
-        lines, F.col("o_orderkey") == F.col("l_orderkey"), "left"
-    )
+    rows = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     text = F.concat(F.expr(HEAD), F.coalesce("parts", F.lit("")), F.expr(TAIL))
     return _as_mail(rows, "orders", F.col("o_orderkey"), text)
 

@@ -50,11 +50,16 @@ def glob_like(pattern: Column) -> Column:
     return F.replace(escaped, F.lit("*"), F.lit("%"))
 
 
+def number(value: Column, pattern: str) -> Column:
+    """Fixed decimals, ties to even on the exact binary value, no thousands separators."""
+    return F.call_function("format_number", value, F.lit(pattern))
+
+
 def human_bytes(n: Column) -> Column:
     """``512 B``, ``1.5 KB``, ... to base 1024."""
-    out = F.concat(F.format_number(n / F.lit(1024.0**4), "0.0"), F.lit(" TB"))
+    out = F.concat(number(n / F.lit(1024.0**4), "0.0"), F.lit(" TB"))
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
-        text = F.concat(F.format_number(n / F.lit(1024.0**power), "0.0"), F.lit(f" {unit}"))
+        text = F.concat(number(n / F.lit(1024.0**power), "0.0"), F.lit(f" {unit}"))
         out = F.when(n < 1024 ** (power + 1), text).otherwise(out)
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(out)
 
@@ -72,11 +77,11 @@ def human_bytes_py(n: int) -> str:
 
 
 def mib(n: Column) -> Column:
-    return F.format_number(n / F.lit(1048576.0), "0.000")
+    return number(n / F.lit(1048576.0), "0.000")
 
 
 def percent(part: Column, total: Column, digits: int = 2) -> Column:
-    return F.format_number(F.lit(100.0) * part / F.greatest(total, F.lit(1)), "0." + "0" * digits)
+    return number(F.lit(100.0) * part / F.greatest(total, F.lit(1)), "0." + "0" * digits)
 
 
 def truncate(text: Column, n: int) -> Column:

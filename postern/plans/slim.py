@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import human_bytes_py, mib
+from ..functions.text import human_bytes_py, mib, number
 from ..operators import messages, rules, slim
 from ..operators.rules import Options, Rules
 from ..sinks import files
@@ -82,7 +82,7 @@ def dropped_rows(classified: DataFrame, patterns: list) -> DataFrame:
         F.coalesce("sender", F.lit("")).alias("from"),
         "date",
         "subject",
-        F.format_number(F.col("size") / F.lit(1024.0), "0.0").alias("size_kb"),
+        number(F.col("size") / F.lit(1024.0), "0.0").alias("size_kb"),
     )
 
 
