@@ -36,6 +36,10 @@ def is_sent(me: Sequence[str] = (), label: str = SENT_LABEL) -> Column:
     return F.when(F.col("sender").isNull(), False).otherwise(F.coalesce(test, F.lit(False)))
 
 
+def _pairs(dim: str, keys: Column) -> Column:
+    return F.transform(keys, lambda key: F.struct(F.lit(dim).alias("dim"), key.alias("key")))
+
+
 def dim_rows(msgs: DataFrame, me: Sequence[str] = (), dims: Sequence[str] = DIMS, label: str = SENT_LABEL) -> DataFrame:
     """One row per message and (dim, key)."""
     sent = F.col("__sent")
@@ -53,7 +57,7 @@ def dim_rows(msgs: DataFrame, me: Sequence[str] = (), dims: Sequence[str] = DIMS
         "sent_bcc": F.when(sent, F.col("bcc")).otherwise(none),
         "sent_to_domains": F.when(sent, F.array_distinct(F.transform(people, domain_of))).otherwise(none),
     }
-    pairs = F.flatten(F.array(*[F.transform(keys[d], lambda k, d=d: F.struct(F.lit(d).alias("dim"), k.alias("key"))) for d in dims]))
+    pairs = F.flatten(F.array(*[_pairs(d, keys[d]) for d in dims]))
     rows = msgs.withColumn("__sent", is_sent(me, label))
     return rows.select(F.explode(pairs).alias("p"), "size", "att_count", "att_bytes", "bulk").select(
         "p.dim", "p.key", "size", "att_count", "att_bytes", "bulk"

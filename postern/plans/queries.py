@@ -98,6 +98,23 @@ _report(
 )
 
 
+_DIM_KEYS = {
+    "labels": ("unnest(CASE WHEN spam THEN [box, prio, 'Spam'] ELSE [box, prio] END)", "true"),
+    "received_senders": ("sender", "NOT sent"),
+    "received_to": ("to_", "NOT sent"),
+    "sent_to": ("to_", "sent"),
+}
+
+
+@query(
+    f"WITH {MAIL}, d AS ("
+    + " UNION ALL ".join(f"SELECT '{d}' AS dim, {k} AS key, size, att, att_bytes, bulk FROM mail WHERE {w}" for d, (k, w) in _DIM_KEYS.items())
+    + f") SELECT dim, key, {AGG} FROM d GROUP BY 1, 2"
+)
+def reports_in_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.reports(_analysed(spark, sf_dir), dims=tuple(_DIM_KEYS))
+
+
 def _mb(x: str) -> str:
     return f"printf('%.3f', {x} / 1048576.0::DOUBLE)"
 
