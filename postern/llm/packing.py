@@ -3,7 +3,7 @@
 A dynamic program over the global length histogram chooses the bucket boundaries that minimise
 padding; inside each bucket, documents in order of length form batches under a token budget.
 
-The histogram is exact up to ``EXACT`` and in steps of 1/256 of the length above, so that it has a
+The histogram is exact below ``EXACT`` and in steps of 1/256 of the length above, so that it has a
 few thousand cells whatever the corpus; a cell counts as its longest member, and the last boundary
 is the longest length there is. A document longer than the budget is a batch of its own; nothing is cut.
 
@@ -29,7 +29,7 @@ def histogram(lengths: DataFrame) -> list[tuple[int, int, int]]:
     """(longest length, rows, sum of lengths) per cell, ascending; at most about EXACT + 256 * 54 cells."""
     length = F.col("length")
     bits = F.length(F.conv(length.cast("string"), 10, 2)) - 9
-    cell = F.when(length <= EXACT, length).otherwise(F.expr("shiftleft(shiftright(length, __bits), __bits)"))
+    cell = F.when(length < EXACT, length).otherwise(F.expr("shiftleft(shiftright(length, __bits), __bits)"))
     cells = lengths.withColumn("__bits", bits.cast("int")).groupBy(cell.alias("cell"))
     rows = cells.agg(F.max("length").alias("top"), F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"))
     return sorted((r.top, r.n, r.total) for r in rows.collect())
