@@ -3,8 +3,8 @@
 Labelled page outcomes are shrunk level by level: the corpus rate is the prior of the suffixes, each
 suffix's posterior mean the prior of its registered domains, each domain's that of its hosts. The
 strength of each level's beta prior is fitted by the method of moments on that level's own counts. A
-page is blocked when the lower ``LEVEL`` quantile of its host's posterior for "bad" is above
-``THRESHOLD`` (normal approximation of the beta posterior). Explicit rules come first.
+page is blocked when the lower bound of its host's posterior for "bad" (one-sided, ``Z`` deviations of the
+beta posterior below its mean) is above ``THRESHOLD``. Explicit rules come first.
 
 Hosts: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased. The registered
 domain is the last two labels, the suffix the last one.
@@ -35,6 +35,8 @@ RULES: tuple[tuple[str, str], ...] = (
 )
 THRESHOLD = 0.5
 Z = 1.645  # one-sided 95 %
+#: A prior weighs at least as much as so many outcomes, so that a single page never decides about a host.
+LEAST_STRENGTH = 2.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,7 +60,8 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
 
 def _level(counts: DataFrame, key: str) -> DataFrame:
     """Posterior of each ``key``: columns ``key, a, b`` of its beta distribution; ``counts`` has
-    ``key, bad, n, prior`` where prior is the parent's posterior mean."""
+    ``key, bad, n, prior, prior_n``: the parent's posterior mean and how many outcomes it weighs. A prior never
+    weighs more than its parent, so that little evidence above stays little evidence below."""
     p, n = F.col("bad") / F.col("n"), F.col("n")
     # Method of moments: between-group variance against what binomial noise alone would give.
     moments = counts.where("n > 0").agg(
@@ -67,8 +70,9 @@ def _level(counts: DataFrame, key: str) -> DataFrame:
         F.sum((n - 1) * F.col("prior") * (1 - F.col("prior"))).alias("room"),
     )
     rho = F.greatest(F.lit(0.001), F.least(F.lit(0.999), (F.col("spread") - F.col("noise")) / F.col("room")))
-    strength = moments.select(F.coalesce(F.when(F.col("room") > 0, 1 / rho - 1), F.lit(2.0)).alias("strength"))
+    strength = moments.select(F.greatest(F.lit(LEAST_STRENGTH), F.coalesce(F.when(F.col("room") > 0, 1 / rho - 1), F.lit(LEAST_STRENGTH))).alias("strength"))
     with_strength = counts.crossJoin(F.broadcast(strength))  # one row by construction
+    with_strength = with_strength.withColumn("strength", F.least("strength", "prior_n"))
     return with_strength.select(
         key,
         (F.col("prior") * F.col("strength") + F.col("bad")).alias("a"),
@@ -89,10 +93,11 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     )
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    total = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("prior"))
-    mean = (F.col("a") / (F.col("a") + F.col("b"))).alias("prior")
-    by_suffix = _level(suffixes.crossJoin(F.broadcast(total)), "suffix").select("suffix", mean)
-    by_domain = _level(domains.join(by_suffix, "suffix"), "domain").select("domain", mean)
+    bad, n = (F.coalesce(F.sum(c), F.lit(0)) for c in ("bad", "n"))
+    total = suffixes.agg(((bad + 0.5) / (n + 1)).alias("prior"), (n + 1.0).alias("prior_n"))
+    above = [(F.col("a") / (F.col("a") + F.col("b"))).alias("prior"), (F.col("a") + F.col("b")).alias("prior_n")]
+    by_suffix = _level(suffixes.crossJoin(F.broadcast(total)), "suffix").select("suffix", *above)
+    by_domain = _level(domains.join(by_suffix, "suffix"), "domain").select("domain", *above)
     by_host = _level(hosts.join(by_domain, "domain"), "host")
     a, b = F.col("a"), F.col("b")
     centre = a / (a + b)
