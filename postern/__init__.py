@@ -1,0 +1 @@
+"""A PySpark-native engine for mail archives and training data."""

@@ -1,0 +1 @@
+"""Operators on messages: parse, report, classify, reduce."""

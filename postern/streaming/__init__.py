@@ -1,0 +1 @@
+"""Empty on purpose: archives are finite, and all work on them is batch."""
