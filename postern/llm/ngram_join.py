@@ -28,6 +28,7 @@ Shingles, and classes of equal sets, are identified by 64- and 128-bit hashes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -43,6 +44,7 @@ from .components import components
 
 #: Ids up to which a list of documents is broadcast (about 32 bytes each on an executor).
 BROADCAST_IDS = 2_000_000
+#: Bits of the smallest parity bitmap; a set's own has at least two bits per element.
 BITMAP = 512
 #: Members of a bucket that one task compares with each other at once.
 BLOCK = 2048
@@ -161,31 +163,43 @@ class Scheme:
         return np.concatenate(sigs), np.concatenate(needs)
 
 
-def parity(h: np.ndarray) -> np.ndarray:
-    """Bitmap of BITMAP bits; a bit is set if an odd number of elements hash to it."""
-    bits = np.bincount((_mix(h) >> np.uint64(55)).astype(np.int64), minlength=BITMAP) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def parity(h: np.ndarray) -> bytes:
+    """Bitmap of a power of two of bits; a bit is set if an odd number of elements hash to it."""
+    size = max(BITMAP, 1 << (2 * len(h)).bit_length())
+    odd = np.bincount((_mix(h) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-WORDS = [f"b{i}" for i in range(BITMAP // 64)]
-META = "doc_id bigint, n_shingles bigint, fp binary, " + ", ".join(f"{w} bigint" for w in WORDS)
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (along the last axis) as they would be with fewer bits: halves are added modulo two."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def _sketch_words(n: int) -> int:
+    """64-bit words of the bitmap that travels with a set's signatures: about a bit per element, at most 4096."""
+    return 1 << min(6, max(3, round(math.log2(max(n, 1) / 1.2)) - 6))
+
+
+META = "doc_id bigint, n_shingles bigint, fp binary, bits binary, sketch binary"
 
 
 def _meta(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(n)
         for batch in batches:
-            sizes, fps, maps = [], [], []
+            sizes, fps, maps, sketches = [], [], [], []
             for text in batch.column("text").to_pylist():
                 h = shingles(text)
                 sizes.append(len(h))
                 fps.append(xxhash.xxh3_128_digest(h.tobytes()))
                 maps.append(parity(h))
-            maps = np.array(maps, np.int64).reshape(len(sizes), len(WORDS))
+                sketches.append(_folded(np.frombuffer(maps[-1], np.uint64), _sketch_words(len(h))).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary())]
-                + [pa.array(maps[:, i].copy()) for i in range(len(WORDS))],
-                names=["doc_id", "n_shingles", "fp", *WORDS],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (fps, maps, sketches))],
+                names=["doc_id", "n_shingles", "fp", "bits", "sketch"],
             )
 
     return run
@@ -264,25 +278,49 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
+def _allowed(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs with their bitmaps -> the pairs whose bitmaps are close enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            columns = (batch.column(c).to_pylist() for c in ("na", "nb", "bits_a", "bits_b"))
+            for na, nb, bits_a, bits_b in zip(*columns, strict=True):
+                a, b = np.frombuffer(bits_a, np.uint64), np.frombuffer(bits_b, np.uint64)
+                words = min(len(a), len(b))
+                apart = int(np.bitwise_count(_folded(a, words) ^ _folded(b, words)).sum())
+                keep.append((den + num) * apart <= (den - num) * (na + nb))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(
+                pa.array(keep, pa.bool_())
+            )
+
+    return run
+
+
 def _across(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows sorted by bucket block -> pairs of different components that size and bitmap allow."""
 
     def pairs(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        size, label, maps = rows["n_shingles"], rows["label"], np.stack([rows[w] for w in WORDS], axis=1).view(np.uint64)
-        a_out, b_out = [], []
-        for lo in range(0, len(size), 256):  # bounded by 256 x 2 * BLOCK comparisons at once
-            s, m = size[lo : lo + 256, None], maps[lo : lo + 256]
-            ok = (label[lo : lo + 256, None] != label[None]) & (den * np.minimum(s, size) >= num * np.maximum(s, size))
-            ok &= np.arange(lo, lo + len(s))[:, None] < np.arange(len(size))
-            i, j = np.nonzero(ok)
-            apart = np.bitwise_count(m[i] ^ maps[j]).sum(axis=1, dtype=np.int64)
-            fits = (den + num) * apart <= (den - num) * (s[i, 0] + size[j])
-            a_out.append(rows["doc_id"][lo + i[fits]])
-            b_out.append(rows["doc_id"][j[fits]])
+        size, label, doc, bits = rows["n_shingles"], rows["label"], rows["doc_id"], rows["sketch"]
+        words = np.array([len(b) // 8 for b in bits])
+        a_out, b_out = [doc[:0]], [doc[:0]]
+        for w in np.unique(words):  # pairs whose shorter bitmap has w words
+            at = np.flatnonzero(words >= w)
+            maps = np.stack([_folded(np.frombuffer(bits[i], np.uint64), w) for i in at])
+            s, lab, short = size[at], label[at], words[at] == w
+            for i in np.flatnonzero(short):
+                ok = (lab != lab[i]) & (den * np.minimum(s, s[i]) >= num * np.maximum(s, s[i]))
+                ok[: i + 1] &= ~short[: i + 1]  # each pair once
+                j = np.flatnonzero(ok)
+                if len(j):
+                    apart = np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1, dtype=np.int64)
+                    j = j[(den + num) * apart <= (den - num) * (s[j] + s[i])]
+                    a_out.append(np.full(len(j), doc[at[i]]))
+                    b_out.append(doc[at[j]])
         return np.concatenate(a_out), np.concatenate(b_out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["sig", "i", "j", "doc_id", "label", "n_shingles", *WORDS]
+        names = ["sig", "i", "j", "doc_id", "label", "n_shingles", "sketch"]
         held: dict[str, np.ndarray] | None = None
 
         def out(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -294,7 +332,7 @@ def _across(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
         for batch in batches:
-            rows = {c: batch.column(c).to_numpy() for c in names}
+            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
             if held is not None:
                 rows = {c: np.concatenate([held[c], rows[c]]) for c in names}
             n = len(rows["sig"])
@@ -349,12 +387,13 @@ class Join:
         self.copies = written(copies.select("doc_id", "class_id").distinct(), "copies")
 
     def _filtered(self, pairs: DataFrame, info: DataFrame) -> DataFrame:
-        left = info.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), *[F.col(w).alias(f"a{w}") for w in WORDS])
-        right = info.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), *WORDS)
-        apart = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(w))) for w in WORDS), F.lit(0))
-        num, den = self.num, self.den
-        fits = (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & ((den + num) * apart <= (den - num) * (F.col("na") + F.col("nb")))
-        return pairs.join(left, "a").join(right, "b").where(fits).select("a", "b").distinct()
+        """The pairs that sizes and bitmaps allow."""
+        left = info.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("bits_a"))
+        right = info.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("bits_b"))
+        fits = self.den * F.least("na", "nb") >= self.num * F.greatest("na", "nb")
+        both = pairs.join(left, "a").join(right, "b").where(fits)
+        both = both.select("a", "b", "na", "nb", "bits_a", "bits_b")
+        return both.mapInArrow(_allowed(self.num, self.den), "a bigint, b bigint").distinct()
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are similar enough, on their whole texts."""
@@ -371,7 +410,7 @@ class Join:
         rows = rows.repartition(n, "sig").sortWithinPartitions("sig", F.col("need").desc(), "doc_id")
         members = written(rows.mapInArrow(_buckets, "sig bigint, doc_id bigint, before bigint"), "members")
         known = written(members.select("doc_id").distinct(), "member-ids")
-        info = self.meta.select("doc_id", "n_shingles", *WORDS).join(_few(known), "doc_id", "left_semi").distinct()
+        info = self.meta.select("doc_id", "n_shingles", "bits", "sketch").join(_few(known), "doc_id", "left_semi").distinct()
         info = written(info, "member-info")
 
         a, b = F.least("doc_id", "before").alias("a"), F.greatest("doc_id", "before").alias("b")
@@ -391,10 +430,11 @@ class Join:
         place = F.row_number().over(Window.partitionBy("sig").orderBy("doc_id")) - 1
         large = large.withColumn("own", F.floor(place / BLOCK)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
         large = large.select("sig", "doc_id", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        rows = small.union(large).join(info, "doc_id").repartition(n, "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "doc_id")
-        rows = rows.select("sig", "i", "j", "doc_id", "label", "n_shingles", *WORDS)
+        rows = small.union(large).join(info.drop("bits"), "doc_id").repartition(n, "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "doc_id")
+        rows = rows.select("sig", "i", "j", "doc_id", "label", "n_shingles", "sketch")
         more = rows.mapInArrow(_across(self.num, self.den), "a bigint, b bigint").distinct()
         more = written(more.join(tried, ["a", "b"], "left_anti"), "across")
+        more = written(self._filtered(more, info), "across-allowed")
         return links.union(self._verified(more))
 
 
