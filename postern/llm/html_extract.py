@@ -4,7 +4,9 @@ Pages are parsed once. Per host the block-level trees are merged: a node of the
 of (tag, class) steps; each page adds the presentation of the node (its children's steps) and its
 content (its own text). Counts of presentations and contents give each node an entropy-based importance
 (logarithms to the base of the number of pages that have the node); a branch whose own and all inner
-importances are below ``THRESHOLD`` is removed from the host's pages.
+importances are below ``THRESHOLD`` is removed from the host's pages. Pages of a host whose text blocks
+are equal count once, so that a copied text is no more boilerplate than one that stands alone; a page all
+of whose branches would go keeps them.
 
 Entropy cannot tell a menu whose links differ on every page from an article. Presentation nodes whose
 tag, role or class says what they are (``NOISE``) therefore have importance 0 from the start, and
@@ -139,7 +141,7 @@ def _digest(text: str) -> int:
 
 PARSED = (
     "page_id bigint, url string, host string, blocks array<struct<path:string,text:string,article:boolean>>,"
-    " features array<struct<path:string,kind:int,feature:bigint>>"
+    " features array<struct<path:string,kind:int,feature:bigint>>, vote bigint"
 )
 
 
@@ -147,15 +149,18 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block = pa.struct([("path", pa.string()), ("text", pa.string()), ("article", pa.bool_())])
     feature = pa.struct([("path", pa.string()), ("kind", pa.int32()), ("feature", pa.int64())])
     for batch in batches:
-        all_blocks, all_features = [], []
+        all_blocks, all_features, votes = [], [], []
         for page in batch.column("html").to_pylist():
             nodes, blocks = parse(page or "")
             clear = [(n, t) for n, t in blocks if not n.noise]
+            votes.append(_digest("\n".join(f"{n.path}\n{t}" for n, t in clear)))
             if any(n.article for n, _ in clear):
                 clear = [(n, t) for n, t in clear if n.article]
             all_blocks.append([{"path": n.path, "text": t, "article": n.article} for n, t in clear])
             shown: dict[tuple[str, int, int], None] = {}
             for n in nodes:
+                if n.noise:
+                    continue  # its importance is 0
                 if n.article and n.tag not in MAIN_TAGS:
                     continue  # inside the article everything is kept; its nodes need no statistics
                 shown[n.path, 0, _digest(" ".join(n.children))] = None
@@ -169,14 +174,16 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column("host"),
                 pa.array(all_blocks, pa.list_(block)),
                 pa.array(all_features, pa.list_(feature)),
+                pa.array(votes, pa.int64()),
             ],
-            names=["page_id", "url", "host", "blocks", "features"],
+            names=["page_id", "url", "host", "blocks", "features", "vote"],
         )
 
 
 def style_tree(parsed: DataFrame) -> DataFrame:
     """``host, path, pages, importance, branch``: a node's own importance and the largest in its branch."""
-    each = parsed.select("host", F.explode("features").alias("f")).select("host", "f.path", "f.kind", "f.feature")
+    pages = parsed.groupBy("host", "vote").agg(F.min("features").alias("features"))
+    each = pages.select("host", F.explode("features").alias("f")).select("host", "f.path", "f.kind", "f.feature")
     counts = each.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("c"))
     c = F.col("c").cast("double")
     nodes = counts.groupBy("host", "path").agg(
@@ -212,5 +219,6 @@ def extracted(pages: DataFrame) -> DataFrame:
     rows = parsed.join(low, F.col("host") == F.col("__host"), "left")
     noisy = "exists(__low, p -> startswith(concat(b.path, '/'), concat(p, '/')))"
     kept = F.expr(f"filter(blocks, b -> b.article OR NOT coalesce({noisy}, false))")
+    kept = F.when(F.size(kept) > 0, kept).otherwise(F.col("blocks"))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -217,6 +217,22 @@ def test_style_tree(spark):
     assert out.where("false").count() == 0
 
 
+def texts_of(spark, rows):
+    return [r.text for r in html_extract.extracted(spark.createDataFrame(rows, "page_id bigint, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_style_tree_of_copies(spark):
+    story = "<body><div><p>story {}</p></div></body>"
+    rows = [(i, "http://one.org/p", story.format(0)) for i in range(20)]
+    rows += [(i, "http://three.org/p", story.format(1 + (i >= 600) + (i >= 900))) for i in range(100, 1100)]
+    want = ["story 0"] * 20 + [f"story {1 + (i >= 600) + (i >= 900)}" for i in range(100, 1100)]
+    assert texts_of(spark, rows) == want
+    # Boilerplate beside copies still goes, also where the copies differ in a named part; a page of nothing else keeps it.
+    shop = "<body><nav>{1}</nav><div id=a><p>Our shop</p></div><div id=b><p>Story {0}</p></div></body>"
+    rows = [(i, "http://big.org/p", shop.format(i % 12, i)) for i in range(60)] + [(60, "http://big.org/p", "<body><div id=a><p>Our shop</p></div></body>")]
+    assert texts_of(spark, rows) == [f"Story {i % 12}" for i in range(60)] + ["Our shop"]
+
+
 @pytest.mark.parametrize(
     ("url", "host", "path", "rule", "verdict"),
     [
