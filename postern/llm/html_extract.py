@@ -9,7 +9,10 @@ are equal count once, so that a copied text is no more boilerplate than one that
 of whose branches would go keeps them.
 
 Entropy cannot tell a menu whose links differ on every page from an article. Presentation nodes whose
-tag, role or class says what they are (``NOISE``) therefore have importance 0 from the start, and
+tag, role or class says what they are (``NOISE_TAGS``, ``NOISE_WORDS``) therefore have importance 0 from the
+start. The words do not count on ``html``, ``body`` and ``main`` and on what is or holds an ``article`` or
+``main``: that is a wrapper, judged by its statistics. Inside an article (where comments are articles too) it
+has to hold more than half of the article's text to be one. Nodes that are no noise have
 ``article`` and ``main`` have importance 1; where a page has one of these, its text is the main text.
 
 Defined cases: null or empty html gives an empty text; a null url has the empty host; a host with fewer
@@ -74,17 +77,38 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("article", "children", "noise", "path", "tag", "text")
+    __slots__ = ("article", "children", "holds", "named", "noise", "parent", "path", "size", "tag", "text")
 
-    def __init__(self, tag: str, path: str, noise: bool, article: bool) -> None:
-        self.tag, self.path, self.noise, self.article = tag, path, noise, article
+    def __init__(self, tag: str, path: str, named: bool, parent: Node | None) -> None:
+        self.tag, self.path, self.named, self.parent = tag, path, named, parent
+        self.noise = self.article = False
+        #: Whether the node is or holds an article or main, and the characters of its branch that no tag calls noise.
+        self.holds, self.size = tag in MAIN_TAGS, 0
         self.children: list[str] = []
         self.text: list[str] = []
 
 
+def _judge(nodes: list[Node]) -> None:
+    """Sets ``noise`` and ``article`` of nodes in page order, once their branches are known."""
+    for n in reversed(nodes):
+        n.size = 0 if n.tag in NOISE_TAGS else n.size + sum(map(len, n.text))
+        if n.parent:
+            n.parent.size += n.size
+            n.parent.holds |= n.holds and n.tag not in NOISE_TAGS
+    around: dict[Node, Node | None] = {}  # the nearest article or main above a node
+    for n in nodes[1:]:
+        up = n.parent
+        around[n] = outer = up if up.article and up.tag in MAIN_TAGS else around.get(up)
+        named = n.named and n.tag not in ("html", "body", "main")
+        if named and n.holds:
+            named = outer is not None and 2 * n.size <= outer.size
+        n.noise = up.noise or n.tag in NOISE_TAGS or named
+        n.article = not n.noise and (up.article or n.tag in MAIN_TAGS)
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """The block-level nodes of a page and its text blocks, in page order."""
-    root = Node("", "", False, False)
+    root = Node("", "", False, None)
     open_, nodes, blocks, buffer = [root], [root], [], []
 
     def flush() -> None:
@@ -123,15 +147,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         parent = open_[-1]
         step = ".".join([tag, *words]).replace("/", "_")
         named = any(w in NOISE_WORDS for word in words for w in _WORD.findall(word))
-        noise = parent.noise or tag in NOISE_TAGS or named
-        article = not noise and (parent.article or tag in MAIN_TAGS)
         path = parent.path + "/" + step if parent.path.count("/") < DEPTH else parent.path
         parent.children.append(step)
-        node = Node(tag, path, noise, article)
+        node = Node(tag, path, named, parent)
         open_.append(node)
         nodes.append(node)
     buffer.append(html.unescape(page[at:]))
     flush()
+    _judge(nodes)
     return nodes, blocks
 
 

@@ -233,6 +233,23 @@ def test_style_tree_of_copies(spark):
     assert texts_of(spark, rows) == [f"Story {i % 12}" for i in range(60)] + ["Our shop"]
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<body class="page has-sidebar"><article>a</article><div class=sidebar>no</div>', "a"),
+        ('<html id=no-ads><body><div class="content with-sidebar"><div><article>a</article></div><p class=ad>no</p></div>', "a"),
+        ('<body><main id="content-with-ads"><p>a</p><p class=ad>no</p></main>', "a"),
+        ('<body><article class="post share"><p>a</p></article>', "a"),
+        ('<main><h1>h</h1><div class="with-sidebar"><article>story</article></div></main>', "h\nstory"),
+        ("<main><article>story</article><div class=comments><article>no</article></div></main>", "story"),
+        ('<aside class="x"><article>no</article></aside><p>a</p>', "a"),
+        ("<div class=related><p>no</p></div><p>a</p>", "a"),
+    ],
+)
+def test_words_of_wrappers(spark, page, text):
+    assert texts_of(spark, [(1, "http://h/x", page)]) == [text]
+
+
 @pytest.mark.parametrize(
     ("url", "host", "path", "rule", "verdict"),
     [
