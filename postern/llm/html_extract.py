@@ -12,8 +12,11 @@ Entropy cannot tell a menu whose links differ on every page from an article. Pre
 tag, role or class says what they are (``NOISE_TAGS``, ``NOISE_WORDS``) therefore have importance 0 from the
 start. The words do not count on ``html``, ``body`` and ``main`` and on what is or holds an ``article`` or
 ``main``: that is a wrapper, judged by its statistics. Inside an article (where comments are articles too) it
-has to hold more than half of the article's text to be one. Nodes that are no noise have
-``article`` and ``main`` have importance 1; where a page has one of these, its text is the main text.
+has to hold more than half of the article's text to be one.
+
+``article`` and ``main`` are a prior: the nodes themselves have importance 1, and to each node inside them
+``MIN_PAGES`` pages of importance 1 are added. All other branches, also beside an article, are judged by
+entropy alone.
 
 Defined cases: null or empty html gives an empty text; a null url has the empty host; a host with fewer
 than ``MIN_PAGES`` pages at a node has no evidence there and keeps it; repeated pages and null ids are
@@ -163,13 +166,13 @@ def _digest(text: str) -> int:
 
 
 PARSED = (
-    "page_id bigint, url string, host string, blocks array<struct<path:string,text:string,article:boolean>>,"
+    "page_id bigint, url string, host string, blocks array<struct<path:string,text:string>>,"
     " features array<struct<path:string,kind:int,feature:bigint>>, vote bigint"
 )
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block = pa.struct([("path", pa.string()), ("text", pa.string()), ("article", pa.bool_())])
+    block = pa.struct([("path", pa.string()), ("text", pa.string())])
     feature = pa.struct([("path", pa.string()), ("kind", pa.int32()), ("feature", pa.int64())])
     for batch in batches:
         all_blocks, all_features, votes = [], [], []
@@ -177,17 +180,13 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes, blocks = parse(page or "")
             clear = [(n, t) for n, t in blocks if not n.noise]
             votes.append(_digest("\n".join(f"{n.path}\n{t}" for n, t in clear)))
-            if any(n.article for n, _ in clear):
-                clear = [(n, t) for n, t in clear if n.article]
-            all_blocks.append([{"path": n.path, "text": t, "article": n.article} for n, t in clear])
+            all_blocks.append([{"path": n.path, "text": t} for n, t in clear])
             shown: dict[tuple[str, int, int], None] = {}
             for n in nodes:
                 if n.noise:
                     continue  # its importance is 0
-                if n.article and n.tag not in MAIN_TAGS:
-                    continue  # inside the article everything is kept; its nodes need no statistics
                 shown[n.path, 0, _digest(" ".join(n.children))] = None
-                if n.text and not n.article:
+                if n.text:
                     shown[n.path, 1, _digest("\n".join(n.text))] = None
             all_features.append([{"path": p, "kind": k, "feature": f} for p, k, f in shown])
         yield pa.RecordBatch.from_arrays(
@@ -217,9 +216,14 @@ def style_tree(parsed: DataFrame) -> DataFrame:
     ln_m = F.ln("pages")
     shape = 1 - F.col("shape_clnc") / (F.col("pages") * ln_m)  # -sum p log_m p
     content = 1 - F.col("content_lnc") / ln_m
+    measured = F.greatest(shape, F.coalesce(content, F.lit(0.0)))
+    tags = "|".join(sorted(MAIN_TAGS))
+    is_main, within = F.col("path").rlike(rf"/({tags})(\.[^/]*)?$"), F.col("path").rlike(rf"/({tags})(\.[^/]*)?/")
     nodes = nodes.withColumn(
         "importance",
-        F.when(F.col("pages") < MIN_PAGES, F.lit(1.0)).otherwise(F.greatest(shape, F.coalesce(content, F.lit(0.0)))),
+        F.when((F.col("pages") < MIN_PAGES) | is_main, F.lit(1.0))
+        .when(within, (MIN_PAGES + F.col("pages") * measured) / (MIN_PAGES + F.col("pages")))
+        .otherwise(measured),
     )
     ancestors = F.expr("transform(sequence(1, size(split(path, '/'))), i -> array_join(slice(split(path, '/'), 1, i), '/'))")
     up = nodes.select("host", F.explode(ancestors).alias("path"), "importance")
@@ -241,7 +245,7 @@ def extracted(pages: DataFrame) -> DataFrame:
         low = F.broadcast(low)
     rows = parsed.join(low, F.col("host") == F.col("__host"), "left")
     noisy = "exists(__low, p -> startswith(concat(b.path, '/'), concat(p, '/')))"
-    kept = F.expr(f"filter(blocks, b -> b.article OR NOT coalesce({noisy}, false))")
+    kept = F.expr(f"filter(blocks, b -> NOT coalesce({noisy}, false))")
     kept = F.when(F.size(kept) > 0, kept).otherwise(F.col("blocks"))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -250,6 +250,14 @@ def test_words_of_wrappers(spark, page, text):
     assert texts_of(spark, [(1, "http://h/x", page)]) == [text]
 
 
+def test_style_tree_beside_articles(spark):
+    page = "<body><div id=s><p>Story {0}</p></div><div id=b><p>Our shop</p></div><article><p>Card {0}</p><div><p>Rate this</p></div></article></body>"
+    assert texts_of(spark, [(i, "http://big.org/p", page.format(i)) for i in range(100)]) == [f"Story {i}\nCard {i}" for i in range(100)]
+    # Within the article the prior outweighs the evidence of a few pages.
+    few = texts_of(spark, [(i, "http://few.org/p", page.format(i)) for i in range(20)])
+    assert few == [f"Story {i}\nCard {i}\nRate this" for i in range(20)]
+
+
 @pytest.mark.parametrize(
     ("url", "host", "path", "rule", "verdict"),
     [
