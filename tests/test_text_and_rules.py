@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from postern.functions import mime, text
 from postern.operators import rules
+from postern.plans import queries
 
 
 def one(spark, expression):
@@ -17,6 +18,14 @@ def test_extract_addrs_equals_plain_python(spark):
     assert got == {v: mime.addresses(v) for v in values}
 
 
+def test_document_addresses_with_markup(spark, tmp_path):
+    texts = ["Jane <jane@X.org>, too@x.org", "<b>bold</b> B@c.d and e@f.g", "a < b\n> q@r.s", "<i@j> <k@l>\n<I@J>", "plain@x.org", "none", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.address) for r in queries.document_addresses(spark, str(tmp_path)).collect()}
+    assert got == {(i, a) for i, t in enumerate(texts) for a in mime.addresses(t or "")}
+    assert {(0, "jane@x.org"), (1, "b@c.d"), (2, "q@r.s")} <= got
+
+
 @pytest.mark.parametrize(
     ("n", "human"),
     [(0, "0 B"), (1023, "1023 B"), (1024, "1.0 KB"), (1048575, "1024.0 KB"), (1 << 20, "1.0 MB"), (3 << 40, "3.0 TB"), (5 << 50, "5120.0 TB")],
