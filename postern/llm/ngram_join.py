@@ -12,7 +12,7 @@ set with at most that many partitions that have such a weak signature can rely o
 its weak ones only answer sets that need theirs.
 
 From shared signatures to components, without a row for every pair of a bucket:
- 1. equal sets are one class, and only its least document goes on;
+ 1. equal sets are one class, and only its least document goes on, with ids that have other sets too;
  2. in each bucket every member is tried against its neighbour, first by a parity bitmap whose
     distance never exceeds the true one, then on the whole texts;
  3. in buckets whose members are still in several components, all pairs across components are tried,
@@ -385,6 +385,10 @@ class Join:
         copies = filled.select("doc_id", "fp").join(_few(classes), "fp").where("doc_id <> class_id")
         #: ``doc_id, class_id`` of the documents whose set equals that of a smaller id.
         self.copies = written(copies.select("doc_id", "class_id").distinct(), "copies")
+        ids = self.copies.select("doc_id").distinct()
+        texts = filled.join(_few(ids), "doc_id", "left_semi").groupBy("doc_id").agg((F.min("fp") == F.max("fp")).alias("one"))
+        #: The ids all of whose texts their class stands for; an id with other texts too needs links of its own.
+        self.spared = written(texts.where("one").select("doc_id"), "spared")
 
     def _filtered(self, pairs: DataFrame, info: DataFrame) -> DataFrame:
         """The pairs that sizes and bitmaps allow."""
@@ -405,7 +409,7 @@ class Join:
     def links(self) -> DataFrame:
         """``a, b``: verified links, enough to connect all that any link connects."""
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        first = self.docs.where("doc_id IS NOT NULL").join(_few(self.copies.select("doc_id")), "doc_id", "left_anti")
+        first = self.docs.where("doc_id IS NOT NULL").join(_few(self.spared), "doc_id", "left_anti")
         rows = first.select("doc_id", "text").mapInArrow(_signed(self.n, self.num, self.den), "sig bigint, doc_id bigint, need boolean")
         rows = rows.repartition(n, "sig").sortWithinPartitions("sig", F.col("need").desc(), "doc_id")
         members = written(rows.mapInArrow(_buckets, "sig bigint, doc_id bigint, before bigint"), "members")

@@ -104,6 +104,15 @@ def test_join_defined_cases(spark):
     assert sorted(str(r.doc_id) for r in ngram_join.one_of_each(docs).collect()) == ["1", "None", "None"]
 
 
+def test_join_ids_with_several_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (7, a), (7, b), (9, b + " end"), (11, c), (12, d), (13, c), (13, d), (14, d), (20, "other")]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r.component_id for r in ngram_join.joined(docs).collect()}
+    assert got == {1: 1, 7: 1, 9: 1, 11: 11, 12: 11, 13: 11, 14: 11, 20: 20}
+    assert sorted(r.doc_id for r in ngram_join.one_of_each(docs).collect()) == [1, 11, 20]
+
+
 def test_signatures_meet():
     """Sets that are similar enough share a needed signature, over many random pairs."""
     rnd = np.random.default_rng(1)
