@@ -68,10 +68,12 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages", "page_id", "url")
-    # A page's outcome is the label of the document with its id: bad if toxic or of no quality.
+    # A page's outcome is the label of the document that its path names (/en/7817): bad if toxic or of no quality.
     bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).when(F.col("toxic").isNotNull(), 0)
-    labels = _table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
-    outcomes = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("bad"))
+    labels = _table(spark, sf_dir, "labels", "doc_id", "quality", "toxic").groupBy("doc_id").agg(F.max(bad).alias("bad"))
+    _, path = url_filters.split_url(F.col("url"))
+    number = F.regexp_extract(path, r"/([0-9]+)(?:\.[A-Za-z]+)?/?$", 1).try_cast("bigint")
+    outcomes = pages.select("page_id", number.alias("doc_id")).join(labels, "doc_id").groupBy("page_id").agg(F.max("bad").alias("bad"))
     out = url_filters.judged(pages, outcomes)
     return out.select("page_id", "host", "path", "rule", "verdict")
 

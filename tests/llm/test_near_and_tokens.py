@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from postern.llm import components, html_extract, ngram_join, token_counts, token_output, url_filters, wavelet
+from postern.llm import components, html_extract, ngram_join, queries, token_counts, token_output, url_filters, wavelet
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id bigint, text string"
@@ -302,6 +302,17 @@ def test_reputation(spark):
     assert by_host["good.b.com"].bad_mean < by_host["new.a.com"].bad_mean < by_host["bad.a.com"].bad_mean
 
 
+def test_outcomes_by_document_number(spark, tmp_path):
+    rows = [(i, f"http://{h}.org/en/{1000 + i}{('/', '.html', '?page=2')[i % 3]}") for i, h in enumerate(["bad"] * 200 + ["good"] * 200)]
+    rows += [(900, "http://none.org/"), (901, "http://none.org/en/99999999999999999999")]
+    labels = [(1000 + i, 1, int(i < 200)) for i in range(400)] + [(i, 1, int(i >= 200)) for i in range(400)]
+    spark.createDataFrame(rows, "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op8_url_filters(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    assert {(r.host, r.verdict) for r in got if r.page_id < 900} == {("bad.org", "block"), ("good.org", "allow")}
+
+
 def test_pipeline(spark, tmp_path):
     rnd = random.Random(8)
     texts = [None, "", "too short"]
