@@ -51,7 +51,7 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements read as raw text: the first two to the end of the page if they are not closed.
-CODE, RAW = "script style", "noscript template textarea title svg math iframe object canvas select button"
+CODE, RAW = "script style", "noscript template textarea title svg iframe canvas select"
 #: Elements that are never main text, whatever their class.
 NOISE_TAGS = frozenset(["nav", "header", "footer", "aside", "form", "menu", "dialog", *CODE.split(), *RAW.split(), "head"])
 MAIN_TAGS = frozenset(["article", "main"])
@@ -62,6 +62,8 @@ NOISE_WORDS = frozenset(
     " promo promoted related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe"
     " toolbar widget".split()
 )
+#: Inline elements that are main text within an article or main only.
+INLINE = frozenset(["math", "object", "button"])
 #: A start tag that closes an open element of the same kind.
 CLOSES_SELF = frozenset("p li dt dd tr td th option".split())
 CLOSES_P = BLOCKS - {"body", "html"}
@@ -121,7 +123,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             blocks.append((open_[-1], text))
             open_[-1].text.append(text)
 
-    at = 0
+    at, skipped = 0, None  # skipped: the inline element outside an article that is being left out, and where it began
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             buffer.append(html.unescape(page[at : m.start()]))
@@ -132,7 +134,16 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if tag not in BLOCKS:
             if tag == "br":
                 buffer.append(" ")
+            elif tag in INLINE:
+                if not m["end"]:
+                    if skipped is None and not any(n.tag in MAIN_TAGS for n in open_):
+                        skipped = tag, len(buffer)
+                elif skipped and skipped[0] == tag:
+                    del buffer[skipped[1] :]
+                    skipped = None
             continue
+        if skipped:
+            skipped = None if tag in MAIN_TAGS else (skipped[0], 0)  # not closed before an article
         flush()
         if tag in VOID:
             continue

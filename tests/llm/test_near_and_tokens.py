@@ -302,6 +302,18 @@ def test_reputation(spark):
     assert by_host["good.b.com"].bad_mean < by_host["new.a.com"].bad_mean < by_host["bad.a.com"].bad_mean
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>so <math><mi>x</mi> = 1</math> and <object data=f>a <b>plan</b></object> or <button>press</button> on</p></article>", "so x = 1 and a plan or press on"),
+        ("<body><p>a <button>no <i>no</i></button> b <math>no</math> c</p><div>d</div>", "a b c\nd"),
+        ("<button>open<article>a <button>b</button> c</article>", "open\na b c"),
+    ],
+)
+def test_inline_elements(page, text):
+    assert "\n".join(t for n, t in html_extract.parse(page)[1] if not n.noise) == text
+
+
 def test_outcomes_by_document_number(spark, tmp_path):
     rows = [(i, f"http://{h}.org/en/{1000 + i}{('/', '.html', '?page=2')[i % 3]}") for i, h in enumerate(["bad"] * 200 + ["good"] * 200)]
     rows += [(900, "http://none.org/"), (901, "http://none.org/en/99999999999999999999")]
