@@ -17,9 +17,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; a local one is set only where the cluster names none."""
+    """The shared folder of this session. A local master without one gets a local folder; a cluster must name it."""
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {SETTING} to a folder that the driver and all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), f"postern-shared-{os.getuid()}")
         spark.conf.set(SETTING, named)
     return named.rstrip("/")
@@ -37,6 +39,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def posix(path: str) -> str | None:
     """The plain path of a ``file:`` URI or a path without a scheme; None for other stores."""
     if path.startswith("file:"):

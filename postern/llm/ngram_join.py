@@ -7,23 +7,27 @@ differ in at most k elements differ in at most k2 in one of the n1, and then agr
 of its second-level partitions. Each set therefore has one signature for every first-level partition and
 subset, and sets that are similar enough share one of them; nothing is lost.
 
-Signatures over very few elements agree by chance. With ``spare`` more first-level partitions than needed, a
-set with at most that many partitions that have such a weak signature can rely on its strong ones alone:
-its weak ones only answer sets that need theirs.
+Signatures over no element agree by chance. A set of a given size differs from any partner in at most k(size)
+elements, so at least ``n1 - k(size) // (k2 + 1)`` first-level partitions are good for every pair it is in. If fewer
+of its partitions than that have an empty signature, some good partition has none, and the set (whatever
+its partner does) is found by its other signatures alone: it emits no empty ones.
 
 From shared signatures to components, without a row for every pair of a bucket:
  1. equal sets are one class, and only its least document goes on, with ids that have other sets too;
  2. in each bucket every member is tried against its neighbour, first by a parity bitmap whose
     distance never exceeds the true one, then on the whole texts;
- 3. in buckets whose members are still in several components, all pairs across components are tried,
-    by bitmap within the task (in blocks of bounded size), and what is left on the whole texts.
-After 3 every pair that shares a signature has been verified, ruled out, or lies inside one component.
+ 3. in buckets whose members are still in several components, all pairs across components are compared
+    by bitmap within the task (in blocks of bounded size). First each bucket gives only a spanning forest of the
+    pairs that its bitmaps allow, fewer than it has members; they are verified on the whole texts and components
+    follow. Then, in what is still split, every allowed pair that is left is verified.
+After 3 every pair that shares a signature has been verified, ruled out, or lies inside one component. What the
+last step verifies are pairs close to the threshold: the bitmaps (two to four bits an element) rule out the others.
 
 Defined cases: a null text counts as empty; a document with fewer than n words is one shingle, one
-without words has the empty set and no links; a document is its doc_id: repeated rows are the same
-document, and rows of one id with different texts share their links; rows with a null doc_id are counted
-but linked with nothing (null ``component_id``); extra columns are ignored; an empty table gives no rows.
-Shingles, and classes of equal sets, are identified by 64- and 128-bit hashes.
+without words has the empty set and no links; a document is its doc_id (an integer of any width): repeated rows are
+the same document, and rows of one id with different texts share their links; rows with a null doc_id are counted
+but linked with nothing (null ``component_id``); extra columns are ignored, whatever their names; an empty table
+gives no rows. Shingles, and classes of equal sets, are identified by 64- and 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,11 +39,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import unused_name, written
 from .components import components
 
 #: Ids up to which a list of documents is broadcast (about 32 bytes each on an executor).
@@ -48,9 +53,15 @@ BROADCAST_IDS = 2_000_000
 BITMAP = 512
 #: Members of a bucket that one task compares with each other at once.
 BLOCK = 2048
-WEAK = 2
+#: Bytes up to which a whole bitmap travels with a set's signatures; larger ones are folded once.
+SKETCH = 256
+#: First-level partitions beyond those that the largest distance in a band needs.
+SPARE = 0.05
+#: Signatures that a task holds before it hands them on.
+HELD = 400_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_WORD_CACHE = 400_000
+#: Bytes of text that are shingled at once.
+CHUNK = 4 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -66,30 +77,56 @@ def _seed(i: int) -> np.uint64:
     return np.uint64(i * int(_MUL) & 0xFFFFFFFFFFFFFFFF)
 
 
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``CHUNK`` bytes, one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        limit = (ends[at - 1] if at else 0) + CHUNK
+        upto = max(at + 1, int(np.searchsorted(ends, limit, side="right")))
+        yield at, upto
+        at = upto
+
+
 class Shingler:
-    """Sorted distinct hashes of the word n-grams of whole texts."""
+    """Sorted distinct hashes of the word n-grams of whole texts; each distinct word is hashed once a chunk."""
 
     def __init__(self, n: int) -> None:
-        self.n, self.words = n, {}
+        self.n = n
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
+        return self.sets(pa.array([text], pa.string()))[0]
+
+    def sets(self, texts: pa.Array) -> list[np.ndarray]:
+        return [h for a, b in _chunks(texts) for h in self._sets(texts.slice(a, b - a))]
+
+    def _sets(self, texts: pa.Array) -> list[np.ndarray]:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        of = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        words = lists.flatten()
+        filled = pc.greater(pc.binary_length(words), 0)
+        coded = words.filter(filled).dictionary_encode()
+        counts = np.bincount(of[filled.to_numpy(zero_copy_only=False)], minlength=len(texts))
+        known = coded.dictionary.cast(pa.binary()).to_pylist()
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
+        h = hashes[coded.indices.to_numpy(zero_copy_only=False)]
+        grams = self._grams(h, self.n)
+        ends = np.cumsum(counts)
+        out = []
+        for begin, end in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+            n = min(self.n, end - begin)
+            out.append(np.unique(grams[begin : end - n + 1] if n == self.n else self._grams(h[begin:end], n)))
+        return out
+
+    @staticmethod
+    def _grams(h: np.ndarray, n: int) -> np.ndarray:
+        """Hash of the n words from each position on."""
+        if not n or len(h) < n:
             return np.empty(0, np.uint64)
-        known = self.words
-        got = list(map(known.get, words))
-        if None in got:
-            if len(known) > _WORD_CACHE:
-                known.clear()
-            for i, h in enumerate(got):
-                if h is None:
-                    got[i] = known[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-        h = np.array(got, np.uint64)
-        n = min(self.n, len(h))
         out = np.full(len(h) - n + 1, n, np.uint64)
         for i in range(n):
             out = _mix(out * _MUL + h[i : len(h) - n + 1 + i])
-        return np.unique(out)
+        return out
 
 
 class Scheme:
@@ -97,8 +134,8 @@ class Scheme:
 
     def __init__(self, num: int, den: int) -> None:
         self.num, self.den = num, den
-        tight = 100 * num >= 85 * den
-        self.n2, self.k2, self.power, self.spare = (3, 1, 3, 0.05) if tight else (2, 1, 2, 0.12)
+        self.n2, self.k2 = 2, 1
+        self.power = 3 if 100 * num >= 85 * den else 2
         self.subsets = list(combinations(range(self.n2), self.n2 - self.k2))
         self.bands = [(1, 1)]
 
@@ -118,12 +155,16 @@ class Scheme:
         return lo
 
     @lru_cache(maxsize=None)  # noqa: B019
-    def parts(self, band: int) -> tuple[int, int, int]:
-        """k, number of first-level partitions, spare ones; for pairs whose smaller set is in ``band``."""
+    def parts(self, band: int) -> tuple[int, int]:
+        """k and the number of first-level partitions, for pairs whose smaller set is in ``band``."""
         k = self.bands[band][1] * (self.den - self.num) // self.num
         least = -(-(k + 1) // (self.k2 + 1))
-        spare = -(-int(1000 * self.spare) * least // 1000) if k else 0
-        return k, least + spare, spare
+        return k, least + (-(-int(1000 * SPARE) * least // 1000) if k else 0)
+
+    def apart(self, size: int, band: int) -> int:
+        """Elements in which a set of this size differs at most from a partner it is compared with in ``band``."""
+        high, num, den = self.bands[band][1], self.num, self.den
+        return size * (den - num) // num if size <= high else (size + high) * (den - num) // (den + num)
 
     def instances(self, size: int) -> list[int]:
         """The bands in whose name a set of this size has signatures."""
@@ -131,36 +172,32 @@ class Scheme:
         below = own - 1
         return [own, below] if below >= 0 and self._grown(self.bands[below][1]) >= size else [own]
 
-    def signatures(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures of a set and, for each, whether the set needs it (or only answers with it)."""
-        sigs, needs = [], []
+    def signatures(self, h: np.ndarray) -> np.ndarray:
+        """The signatures that a set emits."""
+        out = [np.empty(0, np.uint64)]
         for band in self.instances(len(h)):
-            k, n1, spare = self.parts(band)
+            k, n1 = self.parts(band)
             if not k:
                 continue  # only equal sets could be linked, and these are one class
             x = _mix(h + _seed(band))
             cell = ((x >> np.uint64(20)) % np.uint64(n1 * self.n2)).astype(np.int64)
-            order = np.argsort(cell, kind="stable")
-            there, first = np.unique(cell[order], return_index=True)
-            acc = np.zeros(n1 * self.n2, np.uint64)
-            acc[there] = np.add.reduceat(_mix(x ^ _MUL)[order], first)
-            acc, n = acc.reshape(n1, self.n2), np.bincount(cell, minlength=n1 * self.n2).reshape(n1, self.n2)
-            at = np.arange(n1, dtype=np.uint64)
+            acc, full = np.zeros(n1 * self.n2, np.uint64), np.zeros(n1 * self.n2, bool)
+            np.add.at(acc, cell, _mix(x ^ _MUL))
+            full[cell] = True
+            acc, full = acc.reshape(n1, self.n2), full.reshape(n1, self.n2)
+            at = np.arange(n1, dtype=np.uint64) * _MUL
             each, strong = [], []
             for j, subset in enumerate(self.subsets):
-                seed = _seed(64 * band + j)
-                sig = _mix(at * _MUL + seed)
+                sig = _mix(at + _seed(64 * band + j))
                 for second in subset:
                     sig = _mix(sig * _MUL + acc[:, second])
                 each.append(sig)
-                strong.append(n[:, list(subset)].sum(axis=1) >= WEAK)
-            strong = np.array(strong)
-            weak_parts = int((~strong.all(axis=0)).sum())
-            sigs.append(np.concatenate(each))
-            needs.append(strong.ravel() if weak_parts <= spare else np.ones(strong.size, bool))
-        if not sigs:
-            return np.empty(0, np.uint64), np.empty(0, bool)
-        return np.concatenate(sigs), np.concatenate(needs)
+                strong.append(full[:, list(subset)].any(axis=1))
+            strong, each = np.array(strong), np.concatenate(each)
+            empty = int((~strong.all(axis=0)).sum())  # first-level partitions with an empty signature
+            good = n1 - min(k, self.apart(len(h), band)) // (self.k2 + 1)
+            out.append(each[strong.ravel()] if empty < good else each)
+        return np.concatenate(out)
 
 
 def parity(h: np.ndarray) -> bytes:
@@ -178,87 +215,65 @@ def _folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def _sketch_words(n: int) -> int:
-    """64-bit words of the bitmap that travels with a set's signatures: about a bit per element, at most 4096."""
-    return 1 << min(6, max(3, round(math.log2(max(n, 1) / 1.2)) - 6))
-
+def _sketch(bits: bytes) -> bytes:
+    """The bitmap that travels with a set's signatures: the whole one, or of one to two bits per element."""
+    return bits if len(bits) <= SKETCH else _folded(np.frombuffer(bits, np.uint64), len(bits) // 16).tobytes()
 
-META = "doc_id bigint, n_shingles bigint, fp binary, bits binary, sketch binary"
 
+META = "doc_id bigint, n_shingles bigint, fp binary, bits binary, sigs array<bigint>"
 
-def _meta(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(n)
-        for batch in batches:
-            sizes, fps, maps, sketches = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                h = shingles(text)
-                sizes.append(len(h))
-                fps.append(xxhash.xxh3_128_digest(h.tobytes()))
-                maps.append(parity(h))
-                sketches.append(_folded(np.frombuffer(maps[-1], np.uint64), _sketch_words(len(h))).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (fps, maps, sketches))],
-                names=["doc_id", "n_shingles", "fp", "bits", "sketch"],
-            )
-
-    return run
 
+def _meta(n: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts -> sets: size, digest, parity bitmap and signatures, each text shingled once."""
 
-def _signed(n: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, scheme = Shingler(n), Scheme(num, den)
 
-        def out(sigs: list, needs: list, docs: list) -> pa.RecordBatch:
-            ids = np.repeat(np.array(docs, np.int64), [len(s) for s in sigs])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(ids), pa.array(np.concatenate(needs))],
-                names=["sig", "doc_id", "need"],
-            )
+        def out(rows: list[tuple[int | None, int, bytes, bytes, np.ndarray]]) -> pa.RecordBatch:
+            docs, sizes, fps, maps, sigs = zip(*rows, strict=True)
+            ends = np.cumsum([0, *map(len, sigs)], dtype=np.int32)
+            arrays = [pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(maps, pa.binary())]
+            arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs).view(np.int64))))
+            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "fp", "bits", "sigs"])
 
-        sigs, needs, docs, held = [], [], [], 0
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                h = shingles(text)
-                if not len(h):
-                    continue
-                s, need = scheme.signatures(h)
-                sigs.append(s), needs.append(need), docs.append(doc)
-                held += len(s)
-                if held > 100_000:
-                    yield out(sigs, needs, docs)
-                    sigs, needs, docs, held = [], [], [], 0
-        if held:
-            yield out(sigs, needs, docs)
+            rows, held = [], 0
+            texts, docs = batch.column("text"), batch.column("doc_id").to_pylist()
+            each = (h for a, b in _chunks(texts) for h in shingles.sets(texts.slice(a, b - a)))
+            for doc, h in zip(docs, each, strict=True):
+                rows.append((doc, len(h), xxhash.xxh3_128_digest(h.tobytes()), parity(h), scheme.signatures(h) if len(h) else h))
+                held += len(rows[-1][-1])
+                if held > HELD:
+                    yield out(rows)
+                    rows, held = [], 0
+            if rows:
+                yield out(rows)
 
     return run
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (sig, need first, doc_id) -> members of buckets that hold several documents, each
-    with the member before it. One row of state, whatever the size of a bucket."""
-    held = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-    before: tuple[int, int, bool] | None = None
+    """Rows sorted by (sig, doc_id) -> members of buckets that hold several documents, each with the member
+    before it. One row of state, whatever the size of a bucket."""
+    held = np.empty(0, np.int64), np.empty(0, np.int64)
+    before: tuple[int, int] | None = None
 
-    def step(sig: np.ndarray, doc: np.ndarray, need: np.ndarray, last: bool) -> pa.RecordBatch | None:
+    def step(sig: np.ndarray, doc: np.ndarray, last: bool) -> pa.RecordBatch | None:
         nonlocal before, held
         n = len(sig) if last else len(sig) - 1
-        held = sig[n:], doc[n:], need[n:]
+        held = sig[n:], doc[n:]
         if n <= 0:
             return None
         first = np.ones(n, bool)
         first[1:] = sig[1:n] != sig[: n - 1]
         previous = np.empty(n, np.int64)
         previous[1:] = doc[: n - 1]
-        wanted = need[:n].copy()
         if before is not None and before[0] == sig[0]:
-            first[0], previous[0], wanted[0] = False, before[1], before[2]
-        start = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-        wanted = wanted[start]
+            first[0], previous[0] = False, before[1]
         goes_on = np.zeros(n, bool)
         goes_on[: len(sig) - 1] = sig[: min(n, len(sig) - 1)] == sig[1 : min(n, len(sig) - 1) + 1]
-        before = int(sig[n - 1]), int(doc[n - 1]), bool(wanted[n - 1])
-        keep = wanted & np.where(first, goes_on, previous != doc[:n])
+        before = int(sig[n - 1]), int(doc[n - 1])
+        keep = np.where(first, goes_on, previous != doc[:n])
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(sig[:n][keep]),
@@ -269,7 +284,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for batch in batches:
-        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "doc_id", "need")]
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "doc_id")]
         out = step(*(np.concatenate([h, x]) for h, x in zip(held, now, strict=True)), False)
         if out is not None and out.num_rows:
             yield out
@@ -297,39 +312,79 @@ def _allowed(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
-def _across(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by bucket block -> pairs of different components that size and bitmap allow."""
+def _joining(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the edges (a, b) join two components, if all before them do."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    keep = np.zeros(len(a), bool)
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            keep[i] = True
+    return keep
+
 
-    def pairs(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        size, label, doc, bits = rows["n_shingles"], rows["label"], rows["doc_id"], rows["sketch"]
-        words = np.array([len(b) // 8 for b in bits])
-        a_out, b_out = [doc[:0]], [doc[:0]]
+def _across(num: int, den: int, forest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by bucket block -> ``a, b`` of different components that size and bitmap allow.
+
+    With ``forest`` only as many pairs of each block as would join its components, and ``sig`` alone for the
+    buckets in which pairs are left."""
+
+    def pairs(block: np.ndarray, rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the allowed pairs; all members of a block stand together."""
+        size, label, bits = rows["n_shingles"], rows["label"], rows["sketch"]
+        words = np.fromiter(map(len, bits), np.int64, len(bits)) // 8
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for w in np.unique(words):  # pairs whose shorter bitmap has w words
             at = np.flatnonzero(words >= w)
-            maps = np.stack([_folded(np.frombuffer(bits[i], np.uint64), w) for i in at])
-            s, lab, short = size[at], label[at], words[at] == w
-            for i in np.flatnonzero(short):
-                ok = (lab != lab[i]) & (den * np.minimum(s, s[i]) >= num * np.maximum(s, s[i]))
-                ok[: i + 1] &= ~short[: i + 1]  # each pair once
-                j = np.flatnonzero(ok)
-                if len(j):
-                    apart = np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1, dtype=np.int64)
-                    j = j[(den + num) * apart <= (den - num) * (s[j] + s[i])]
-                    a_out.append(np.full(len(j), doc[at[i]]))
-                    b_out.append(doc[at[j]])
-        return np.concatenate(a_out), np.concatenate(b_out)
+            maps = np.empty((len(at), w), np.uint64)
+            for v in np.unique(words[at]):
+                of = np.flatnonzero(words[at] == v)
+                maps[of] = _folded(np.frombuffer(b"".join(bits[at[of]]), np.uint64).reshape(-1, v), w)
+            s, lab, short, own = size[at], label[at], words[at] == w, block[at]
+            end = np.searchsorted(own, own, side="right")
+            i, step = np.arange(len(at)), 1
+            while len(i := i[i + step < end[i]]):  # each with the member ``step`` places on
+                j = i + step
+                ok = (short[i] | short[j]) & (lab[i] != lab[j]) & (den * np.minimum(s[i], s[j]) >= num * np.maximum(s[i], s[j]))
+                p, q = i[ok], j[ok]
+                apart = np.bitwise_count(maps[p] ^ maps[q]).sum(axis=1, dtype=np.int64)
+                near = (den + num) * apart <= (den - num) * (s[p] + s[q])
+                left.append(at[p[near]])
+                right.append(at[q[near]])
+                step += 1
+        return np.concatenate(left), np.concatenate(right)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["sig", "i", "j", "doc_id", "label", "n_shingles", "sketch"]
         held: dict[str, np.ndarray] | None = None
 
         def out(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-            key = np.stack([rows["sig"], rows["i"], rows["j"]])
-            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            found = [pairs({k: v[a:b] for k, v in rows.items()}) for a, b in zip([0, *cuts], [*cuts, key.shape[1]], strict=True)]
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            new = np.ones(len(rows["sig"]), bool)
+            new[1:] = (rows["sig"][1:] != rows["sig"][:-1]) | (rows["i"][1:] != rows["i"][:-1]) | (rows["j"][1:] != rows["j"][:-1])
+            block = np.cumsum(new)
+            a, b = pairs(block, rows)
+            sigs = np.empty(0, np.int64)
+            if forest and len(a):
+                _, ids = np.unique(np.stack([block, rows["label"]]), axis=1, return_inverse=True)
+                ids = ids.ravel()
+                chosen = _joining(ids[a], ids[b])
+                sigs = np.unique(rows["sig"][a[~chosen]])
+                a, b = a[chosen], b[chosen]
+            a, b = rows["doc_id"][a], rows["doc_id"][b]
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+            columns = [np.concatenate([both[0], np.zeros_like(sigs)]), np.concatenate([both[1], np.zeros_like(sigs)])]
+            columns.append(np.concatenate([np.zeros_like(both[0]), sigs]))
+            is_sig = np.arange(len(columns[0])) >= len(both[0])
+            masks = (is_sig, is_sig, ~is_sig)
+            return pa.RecordBatch.from_arrays([pa.array(c, mask=m) for c, m in zip(columns, masks, strict=True)], names=["a", "b", "sig"])
 
         for batch in batches:
             rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
@@ -352,15 +407,13 @@ def _across(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 def _compared(n: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(n)
-        last_text, last = None, None
         for batch in batches:
-            keep = []
-            for ta, tb in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-                if last is None or tb != last_text:
-                    last_text, last = tb, shingles(tb)
-                h = shingles(ta)
-                same = len(np.intersect1d(h, last, assume_unique=True))
-                keep.append(same > 0 and den * same >= num * (len(h) + len(last) - same))
+            keep, left, right = [], batch.column("text_a"), batch.column("text_b")
+            for at, upto in _chunks(left):
+                both = zip(shingles.sets(left.slice(at, upto - at)), shingles.sets(right.slice(at, upto - at)), strict=True)
+                for a, b in both:
+                    same = len(np.intersect1d(a, b, assume_unique=True))
+                    keep.append(same > 0 and den * same >= num * (len(a) + len(b) - same))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -378,7 +431,7 @@ class Join:
         self.n, self.num, self.den = n, num, den
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.spark = docs.sparkSession
-        self.meta = written(self.docs.mapInArrow(_meta(n), META), "shingles")
+        self.meta = written(self.docs.mapInArrow(_meta(n, num, den), META), "shingles")
         filled = self.meta.where("n_shingles > 0 AND doc_id IS NOT NULL")
         classes = filled.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.max("doc_id").alias("most"))
         classes = written(classes.where("most > class_id").select("fp", "class_id"), "classes")
@@ -406,40 +459,53 @@ class Join:
         both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
         return written(both.select("a", "b", "text_a", "text_b").mapInArrow(_compared(self.n, self.num, self.den), "a bigint, b bigint"), "links").distinct()
 
+    def _open(self, members: DataFrame, roots: DataFrame, info: DataFrame) -> DataFrame:
+        """Members of the buckets that still hold several components, once per pair of blocks that theirs is in,
+        with all that a comparison needs."""
+        labelled = members.select("sig", "doc_id").join(roots.toDF("doc_id", "root"), "doc_id", "left")
+        labelled = written(labelled.select("sig", "doc_id", F.coalesce("root", "doc_id").alias("label")), "labelled")
+        split = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
+        split = written(split.where("lo < hi").select("sig", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")), "split")
+        rows = labelled.join(split, "sig")
+        # A hot bucket is dealt over blocks by a hash, so that no task sorts or numbers a whole one.
+        own, zero = F.pmod(F.xxhash64("doc_id"), F.col("blocks")), F.lit(0).cast("long")
+        rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+        rows = rows.select("sig", "doc_id", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.join(info.select("doc_id", "n_shingles", "sketch"), "doc_id")
+        rows = rows.repartition(n, "sig", "i", "j").sortWithinPartitions("sig", "i", "j", F.xxhash64("sig", "doc_id"), "doc_id")
+        return rows.select("sig", "i", "j", "doc_id", "label", "n_shingles", "sketch")
+
     def links(self) -> DataFrame:
         """``a, b``: verified links, enough to connect all that any link connects."""
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        first = self.docs.where("doc_id IS NOT NULL").join(_few(self.spared), "doc_id", "left_anti")
-        rows = first.select("doc_id", "text").mapInArrow(_signed(self.n, self.num, self.den), "sig bigint, doc_id bigint, need boolean")
-        rows = rows.repartition(n, "sig").sortWithinPartitions("sig", F.col("need").desc(), "doc_id")
+        first = self.meta.where("doc_id IS NOT NULL").join(_few(self.spared), "doc_id", "left_anti")
+        rows = first.select(F.explode("sigs").alias("sig"), "doc_id")
+        rows = rows.repartition(n, "sig").sortWithinPartitions("sig", "doc_id")
         members = written(rows.mapInArrow(_buckets, "sig bigint, doc_id bigint, before bigint"), "members")
         known = written(members.select("doc_id").distinct(), "member-ids")
-        info = self.meta.select("doc_id", "n_shingles", "bits", "sketch").join(_few(known), "doc_id", "left_semi").distinct()
-        info = written(info, "member-info")
+        info = self.meta.select("doc_id", "n_shingles", "bits").join(_few(known), "doc_id", "left_semi").distinct()
+        info = written(info.mapInArrow(_sketched, "doc_id bigint, n_shingles bigint, bits binary, sketch binary"), "member-info")
 
         a, b = F.least("doc_id", "before").alias("a"), F.greatest("doc_id", "before").alias("b")
         tried = self._filtered(members.where("before IS NOT NULL").select(a, b).distinct(), info)
         tried = written(tried, "tried")
         links = self._verified(tried)
-
-        roots = components(links)
-        labelled = members.select("sig", "doc_id").join(roots.toDF("doc_id", "root"), "doc_id", "left")
-        labelled = written(labelled.select("sig", "doc_id", F.coalesce("root", "doc_id").alias("label")), "labelled")
-        split = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
-        split = written(split.where("lo < hi").select("sig", "n"), "split")
-        rows = labelled.join(split, "sig").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        rows = written(rows, "open")
-        small = rows.where("blocks = 1").select("sig", "doc_id", "label", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
-        large = rows.where("blocks > 1")
-        place = F.row_number().over(Window.partitionBy("sig").orderBy("doc_id")) - 1
-        large = large.withColumn("own", F.floor(place / BLOCK)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-        large = large.select("sig", "doc_id", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        rows = small.union(large).join(info.drop("bits"), "doc_id").repartition(n, "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "doc_id")
-        rows = rows.select("sig", "i", "j", "doc_id", "label", "n_shingles", "sketch")
-        more = rows.mapInArrow(_across(self.num, self.den), "a bigint, b bigint").distinct()
-        more = written(more.join(tried, ["a", "b"], "left_anti"), "across")
-        more = written(self._filtered(more, info), "across-allowed")
-        return links.union(self._verified(more))
+        for forest in (True, False):
+            rows = self._open(members, components(links), info)
+            found = written(rows.mapInArrow(_across(self.num, self.den, forest), "a bigint, b bigint, sig bigint"), "across")
+            more = found.where("a IS NOT NULL").select("a", "b").distinct()
+            more = written(more.join(tried, ["a", "b"], "left_anti"), "across-new")
+            links, tried = links.union(self._verified(more)), tried.union(more)
+            # What the bitmaps rule out once stays so: only buckets with pairs left are opened again.
+            members = members.join(_few(found.where("sig IS NOT NULL").select("sig").distinct()), "sig", "left_semi")
+        return links
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sketches = pa.array([_sketch(b) for b in batch.column("bits").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns, sketches], names=[*batch.schema.names, "sketch"])
 
 
 def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -468,5 +534,6 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFr
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` without the documents whose component has a smaller id."""
     found = joined(docs, n, num, den)
-    dropped = written(found.where("component_id < doc_id").select(F.col("doc_id").alias("__drop")).distinct(), "near-dropped")
-    return docs.join(_few(dropped), F.col("doc_id") == F.col("__drop"), "left_anti")
+    drop = unused_name(docs, "drop")
+    dropped = written(found.where("component_id < doc_id").select(F.col("doc_id").alias(drop)).distinct(), "near-dropped")
+    return docs.join(_few(dropped), F.col("doc_id") == F.col(drop), "left_anti")
