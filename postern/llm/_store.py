@@ -10,7 +10,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
@@ -52,3 +56,14 @@ def posix(path: str) -> str | None:
     if path.startswith("file:"):
         return "/" + path[5:].lstrip("/")
     return path if "://" not in path else None
+
+
+def chunks(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``size`` bytes, one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        limit = (int(ends[at - 1]) if at else 0) + size
+        upto = max(at + 1, int(np.searchsorted(ends, limit, side="right")))
+        yield at, upto
+        at = upto

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import unused_name, written
+from ._store import chunks, unused_name, written
 from .components import components
 
 #: Ids up to which a list of documents is broadcast (about 32 bytes each on an executor).
@@ -77,17 +77,6 @@ def _seed(i: int) -> np.uint64:
     return np.uint64(i * int(_MUL) & 0xFFFFFFFFFFFFFFFF)
 
 
-def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``CHUNK`` bytes, one text at least."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(texts):
-        limit = (ends[at - 1] if at else 0) + CHUNK
-        upto = max(at + 1, int(np.searchsorted(ends, limit, side="right")))
-        yield at, upto
-        at = upto
-
-
 class Shingler:
     """Sorted distinct hashes of the word n-grams of whole texts; each distinct word is hashed once a chunk."""
 
@@ -98,7 +87,7 @@ class Shingler:
         return self.sets(pa.array([text], pa.string()))[0]
 
     def sets(self, texts: pa.Array) -> list[np.ndarray]:
-        return [h for a, b in _chunks(texts) for h in self._sets(texts.slice(a, b - a))]
+        return [h for a, b in chunks(texts, CHUNK) for h in self._sets(texts.slice(a, b - a))]
 
     def _sets(self, texts: pa.Array) -> list[np.ndarray]:
         lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
@@ -239,7 +228,7 @@ def _meta(n: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], It
         for batch in batches:
             rows, held = [], 0
             texts, docs = batch.column("text"), batch.column("doc_id").to_pylist()
-            each = (h for a, b in _chunks(texts) for h in shingles.sets(texts.slice(a, b - a)))
+            each = (h for a, b in chunks(texts, CHUNK) for h in shingles.sets(texts.slice(a, b - a)))
             for doc, h in zip(docs, each, strict=True):
                 rows.append((doc, len(h), xxhash.xxh3_128_digest(h.tobytes()), parity(h), scheme.signatures(h) if len(h) else h))
                 held += len(rows[-1][-1])
@@ -409,7 +398,7 @@ def _compared(n: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]]
         shingles = Shingler(n)
         for batch in batches:
             keep, left, right = [], batch.column("text_a"), batch.column("text_b")
-            for at, upto in _chunks(left):
+            for at, upto in chunks(left, CHUNK):
                 both = zip(shingles.sets(left.slice(at, upto - at)), shingles.sets(right.slice(at, upto - at)), strict=True)
                 for a, b in both:
                     same = len(np.intersect1d(a, b, assume_unique=True))

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,7 +159,7 @@ def test_wavelet():
     rnd = np.random.default_rng(2)
     for n in (0, 1, 511, 512, 513, 3000):
         ids = (rnd.zipf(1.4, n) % 40_000).astype(np.uint16)
-        raw = wavelet.to_bytes(ids, np.array([n], np.int64), [None], 16, 3, 4)
+        raw = wavelet.to_bytes(ids, np.array([n], np.int64), [None], 3, 4)
         m, docs, lengths, part, shard = wavelet.from_bytes(raw)
         assert docs == [None] and lengths.tolist() == [n] and (part, shard) == (3, 4)
         assert (m.ids() == ids).all()
@@ -171,6 +172,31 @@ def test_wavelet():
         assert m.count(65_000) == 0 and m.count(1 << 20) == 0
 
 
+def test_wavelet_compresses():
+    """A shard takes its ids' entropy and little more, also with codes of very different lengths."""
+    rnd = np.random.default_rng(3)
+    ids = (rnd.zipf(1.2, 200_000) % 40_000).astype(np.uint16)
+    p = np.unique(ids, return_counts=True)[1] / len(ids)
+    raw = wavelet.to_bytes(ids, np.array([len(ids)], np.int64), [1], 0, 0)
+    assert 8 * len(raw) < 1.15 * len(ids) * -(p * np.log2(p)).sum() + 32 * 8 * len(p)
+    ids = np.repeat(np.arange(40, dtype=np.uint32) + (1 << 21), [int(1.4**k) + 1 for k in range(40)])
+    rnd.shuffle(ids)
+    m = wavelet.from_bytes(wavelet.to_bytes(ids, np.array([len(ids)], np.int64), [1], 0, 0))[0]
+    assert (m.ids() == ids).all() and m.access(5) == ids[5] and m.code.lengths.max() > 10
+    assert wavelet.code_lengths(1 << np.arange(50)).max() <= wavelet.LONGEST
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, texts = token_output.Encoder(path), [None, "", " two  spaces\n\nand lines ", "plain"]
+    assert not enc.by_parts
+    ids, n = enc.encode(pa.array(texts), 7)
+    want = [[*Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+    assert ids.tolist() == [k for w in want for k in w] and n.tolist() == [len(w) for w in want]
+
+
 def test_token_output(spark, monkeypatch):
     from tokenizers import Tokenizer
 
