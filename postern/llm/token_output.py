@@ -39,10 +39,10 @@ from ._store import chunks, fresh_dir, posix, written
 
 SHARD = 8_000_000
 END = 1
-#: Distinct parts of text whose ids a worker remembers before it starts afresh (about 200 bytes each with their pieces).
-REMEMBERED = 700_000
+#: Distinct parts of text whose ids a worker remembers before it starts afresh (about 150 bytes each with their pieces).
+REMEMBERED = 1_200_000
 #: Bytes of text that are encoded at once.
-CHUNK = 8 << 20
+CHUNK = 12 << 20
 
 # The configuration under which a text's ids are those of its space-separated parts, and those of a
 # plain part are the model's for the pieces below. Any other tokenizer encodes whole texts.
@@ -163,6 +163,7 @@ class Encoder:
     def _numbers(self, parts: pa.Array) -> np.ndarray:
         """Numbers of distinct parts, after the new ones have been encoded."""
         at = pc.index_in(parts, value_set=self.parts)
+        numbers = pc.fill_null(at, 0).to_numpy().astype(np.int64)
         if at.null_count:
             new = parts.filter(at.is_null())
             plain = pc.match_substring_regex(new, _PLAIN)
@@ -170,9 +171,12 @@ class Encoder:
             self.part_ids.add(*self._of_plain(simple.to_pylist()))
             each = [self.whole.encode(p, add_special_tokens=False).ids for p in other.to_pylist()]
             self.part_ids.add(_flat(each), _sizes(each))
+            plain, own = plain.to_numpy(zero_copy_only=False), np.empty(len(new), np.int64)
+            own[plain] = len(self.parts) + np.arange(len(simple))
+            own[~plain] = len(self.parts) + len(simple) + np.arange(len(other))
+            numbers[at.is_null().to_numpy(zero_copy_only=False)] = own
             self.parts = pa.concat_arrays([self.parts, simple, other])
-            at = pc.index_in(parts, value_set=self.parts)
-        return at.to_numpy(zero_copy_only=False)
+        return numbers
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each with the end id, and their number per text."""
