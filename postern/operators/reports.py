@@ -102,31 +102,49 @@ def report_rows(rep: DataFrame, total_bytes: Column) -> DataFrame:
 
 
 def totals(msgs: DataFrame, me: Sequence[str] = (), label: str = SENT_LABEL) -> DataFrame:
-    """One row of global counts; distinct counts are exact."""
-    sent = F.col("__sent")
-    rows = msgs.withColumn("__sent", is_sent(me, label))
-    sender = F.coalesce("sender", F.lit(UNKNOWN))
+    """One row of global counts; distinct counts are exact.
 
-    def summed(value: Column, test: Column) -> Column:
-        return F.coalesce(F.sum(F.when(test, value)), F.lit(0)).cast("long")
-
-    flat = rows.agg(
-        F.count(F.lit(1)).alias("messages"),
-        summed(F.col("size"), F.lit(True)).alias("bytes"),
-        summed(F.col("att_count"), F.lit(True)).alias("attachments"),
-        summed(F.col("att_bytes"), F.lit(True)).alias("attachment_bytes"),
-        summed(F.lit(1), F.col("bulk")).alias("bulk_messages"),
-        summed(F.col("size"), F.col("bulk")).alias("bulk_bytes"),
-        summed(F.lit(1), sent).alias("sent_messages"),
-        summed(F.col("size"), sent).alias("sent_bytes"),
-        summed(F.lit(1), ~sent).alias("received_messages"),
-        summed(F.col("size"), ~sent).alias("received_bytes"),
-        F.coalesce(F.max(F.size("labels") > 0), F.lit(False)).alias("has_labels"),
-        F.count_distinct(F.when(~sent, sender)).alias("unique_received_senders"),
-        F.count_distinct(F.when(~sent, domain_of(sender))).alias("unique_received_sender_domains"),
+    One pass and one shuffle: every message gives its keys and one row for itself, these combine by key, and
+    a distinct count is the number of keys of its kind."""
+    none = F.array().cast("array<string>")
+    sent, bulk = F.col("__sent"), F.col("bulk")
+    sender = F.coalesce("sender", F.lit(UNKNOWN))
+    flags = F.concat(sent.cast("int"), bulk.cast("int"), (F.size("labels") > 0).cast("int"))
+    keys = {
+        "all": F.array(flags),
+        "senders": F.when(sent, none).otherwise(F.array(sender)),
+        "domains": F.when(sent, none).otherwise(F.array(domain_of(sender))),
+        "people": F.when(sent, F.col("to")).otherwise(none),
+    }
+    pairs = F.flatten(F.array(*[_pairs(d, k) for d, k in keys.items()]))
+    rows = msgs.withColumn("__sent", is_sent(me, label)).select(F.explode(pairs).alias("p"), "size", "att_count", "att_bytes")
+    sums = [F.sum(c).cast("long").alias(c) for c in ("size", "att_count", "att_bytes")]
+    each = rows.groupBy("p.dim", "p.key").agg(F.count(F.lit(1)).alias("n"), *sums)
+
+    def summed(column: str, at: int | None = None, value: str = "1") -> Column:
+        test = F.col("dim") == "all"
+        test = test if at is None else test & (F.substring("key", at, 1) == value)
+        return F.coalesce(F.sum(F.when(test, F.col(column))), F.lit(0)).cast("long")
+
+    def distinct(dim: str) -> Column:
+        return F.count(F.when(F.col("dim") == dim, 1))
+
+    return each.agg(
+        summed("n").alias("messages"),
+        summed("size").alias("bytes"),
+        summed("att_count").alias("attachments"),
+        summed("att_bytes").alias("attachment_bytes"),
+        summed("n", 2).alias("bulk_messages"),
+        summed("size", 2).alias("bulk_bytes"),
+        summed("n", 1).alias("sent_messages"),
+        summed("size", 1).alias("sent_bytes"),
+        summed("n", 1, "0").alias("received_messages"),
+        summed("size", 1, "0").alias("received_bytes"),
+        (summed("n", 3) > 0).alias("has_labels"),
+        distinct("senders").alias("unique_received_senders"),
+        distinct("domains").alias("unique_received_sender_domains"),
+        distinct("people").alias("unique_people_you_wrote_to"),
     )
-    people = rows.where(sent).select(F.explode("to").alias("p")).agg(F.count_distinct("p").alias("unique_people_you_wrote_to"))
-    return flat.crossJoin(F.broadcast(people))  # one row each
 
 
 #: Metric rows of the general report: name, expression on ``totals``.
@@ -159,12 +177,6 @@ def general_rows(tot: DataFrame, file: str | None = None, scan_seconds: float |
     return tot.select(F.explode(pairs).alias("r")).select("r.metric", "r.value")
 
 
-def attachment_share(att_bytes: Column, total: Column) -> Column:
-    """Percent of the archive that attachments take in encoded form, at most 100."""
-    encoded = F.floor(att_bytes * 4 / 3)
-    return F.least(F.lit(100.0), F.lit(100.0) * encoded / F.greatest(total, F.lit(1)))
-
-
 def detected_me(msgs: DataFrame, label: str = SENT_LABEL) -> DataFrame:
     """The most frequent sender of sent mail (``sender, n``, at most one row); ties go to the greatest address."""
     sent = msgs.where(is_sent((), label)).groupBy("sender").agg(F.count(F.lit(1)).alias("n"))

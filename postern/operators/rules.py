@@ -1,19 +1,21 @@
 """Sender patterns and drop rules.
 
-A pattern is exact (``a@b.c``), a domain with its subdomains (``b.c`` or ``@b.c``) or a ``*`` glob. Distinct
-senders are matched once: exact and domain patterns by hash joins (the address, and every dot suffix of its
-domain, against the keys), globs by LIKE. Pattern lists come from the command line or a file on the
-driver; the pattern table is broadcast only while it is below a checked size.
+A pattern is exact (``a@b.c``), a domain with its subdomains (``b.c`` or ``@b.c``) or a ``*`` glob. Pattern lists come
+from the command line or a file on the driver, so a rule is a function of one message: ``classify`` decides
+it where the message is parsed, in the same stage, by hash lookups (the address, and every dot suffix of its
+domain) and then the globs, once per distinct sender of a batch. ``match`` says the same of a table of
+senders against a table of patterns by joins, for lists that are tables themselves.
 """
 
 from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import mime
@@ -43,7 +45,7 @@ def parse_list_line(line: str, csv: bool = False) -> list[str]:
 
 def parse_list(text: str) -> list[str]:
     """A whole list file; a report file is recognised by its header line."""
-    lines = text.splitlines()
+    lines = text.split("\n")
     csv = bool(lines) and lines[0].lstrip(BOM).strip().lower().startswith(CSV_HEADERS)
     return [p for line in lines[csv:] for p in parse_list_line(line, csv)]
 
@@ -97,6 +99,59 @@ def match(senders: DataFrame, patterns: DataFrame) -> DataFrame:
     return best.select("sender", "m.idx")
 
 
+class Matcher:
+    """A pattern list as hash tables: exact before domain before glob, and the first pattern of its kind."""
+
+    def __init__(self, patterns: Sequence[tuple[int, str, str, str]]) -> None:
+        self.exact: dict[str, int] = {}
+        self.domain: dict[str, int] = {}
+        self.globs: list[tuple[int, re.Pattern[str]]] = []
+        for idx, _, kind, key in patterns:
+            if kind == "glob":
+                self.globs.append((idx, re.compile(".*".join(map(re.escape, key.split("*"))), re.S)))
+            else:
+                (self.exact if kind == "exact" else self.domain).setdefault(key, idx)
+
+    def __call__(self, sender: str | None) -> int | None:
+        if not sender:
+            return None
+        if (idx := self.exact.get(sender)) is not None:
+            return idx
+        found, suffix = [], sender.rpartition("@")[2]
+        while self.domain:
+            if (idx := self.domain.get(suffix)) is not None:
+                found.append(idx)
+            _, dot, suffix = suffix.partition(".")
+            if not dot:
+                break
+        if found:
+            return min(found)
+        return next((idx for idx, glob in self.globs if glob.fullmatch(sender)), None)
+
+
+Patterns = Sequence[tuple[int, str, str, str]]
+
+
+def matched(sender: Column, *lists: Patterns) -> Column:
+    """Per list the index of the pattern that ``sender`` matches, or null, as fields ``_0, _1, ...`` of a struct: decided
+    row by row without a join, all lists at once."""
+    given, names = [list(patterns) for patterns in lists], [f"_{i}" for i in range(len(lists))]
+    kind = "struct<" + ",".join(f"{name}:int" for name in names) + ">"
+    if not any(given):
+        return F.lit(None).cast(kind)
+
+    @F.arrow_udf(kind)
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        matchers = [Matcher(patterns) for patterns in given]
+        for senders in batches:
+            coded = senders.dictionary_encode()
+            texts = coded.dictionary.to_pylist()
+            found = [pa.array(map(matcher, texts), pa.int32()).take(coded.indices) for matcher in matchers]
+            yield pa.StructArray.from_arrays(found, names)
+
+    return find(sender)
+
+
 @dataclass
 class Rules:
     """What to drop, and whom never to drop."""
@@ -118,24 +173,14 @@ class Options:
     extract: bool = False
     min_attachment_kb: int = 0
     tool_name: str = "postern"
-    me: Sequence[str] = field(default_factory=tuple)
 
 
 def classify(msgs: DataFrame, rules: Rules) -> DataFrame:
     """``msgs`` plus ``reason`` (``label``, ``bulk``, ``sender`` or null) and ``rule_idx``.
 
     One reason per message, in that order; a protected sender has none."""
-    spark = msgs.sparkSession
-    rows = msgs.withColumn("__who", F.coalesce("sender", F.lit("")))
-
-    def joined(df: DataFrame, patterns: Sequence[tuple[int, str, str, str]], name: str) -> DataFrame:
-        if not patterns:
-            return df.withColumn(name, F.lit(None).cast("int"))
-        found = match(msgs.select("sender"), patterns_df(spark, patterns))
-        found = found.select(F.col("sender").alias("__match"), F.col("idx").alias(name))
-        return df.join(found, F.col("__who") == F.col("__match"), "left").drop("__match")
-
-    rows = joined(joined(rows, rules.keep, "__keep"), rules.drop, "__drop")
+    found = matched(F.col("sender"), rules.keep, rules.drop)
+    rows = msgs.withColumn("__keep", found["_0"]).withColumn("__drop", found["_1"])
     wanted = F.array(*[F.lit(label.translate(_ASCII_LOWER)) for label in rules.labels]).cast("array<string>")
     labelled = F.arrays_overlap(F.transform("labels", ascii_lower), wanted)
     reason = (
@@ -145,7 +190,7 @@ def classify(msgs: DataFrame, rules: Rules) -> DataFrame:
         .when(F.col("__drop").isNotNull(), "sender")
     )
     rows = rows.withColumn("reason", reason)
-    return rows.withColumn("rule_idx", F.when(F.col("reason") == "sender", F.col("__drop"))).drop("__who", "__keep", "__drop")
+    return rows.withColumn("rule_idx", F.when(F.col("reason") == "sender", F.col("__drop"))).drop("__keep", "__drop")
 
 
 def dropped_by_reason(classified: DataFrame) -> DataFrame:

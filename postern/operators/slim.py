@@ -79,11 +79,15 @@ def extract(kept: DataFrame, opts: Options) -> DataFrame:
     return rows.select(*KEY, "leaf", "name", "ctype", "bytes", "estimated", "sha256", "stored_as", is_first.alias("is_first"))
 
 
-def extract_totals(extracted: DataFrame) -> DataFrame:
-    return extracted.agg(
-        F.count(F.lit(1)).alias("attachments"),
-        F.count_distinct("stored_as").alias("files"),
-        F.coalesce(F.sum(F.when(F.col("is_first"), F.col("bytes"))), F.lit(0)).cast("long").alias("bytes"),
+def extract_totals(found: DataFrame) -> DataFrame:
+    """``attachments, files, bytes`` of the rows of ``attachments`` or ``extract``: contents are counted once each.
+    Counts combine before the shuffle, so a logo in every message is one row per task."""
+    each = found.groupBy("sha256").agg(F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes"))
+    zero = F.lit(0)
+    return each.agg(
+        F.coalesce(F.sum("n"), zero).cast("long").alias("attachments"),
+        F.count(F.lit(1)).alias("files"),
+        F.coalesce(F.sum("bytes"), zero).cast("long").alias("bytes"),
     )
 
 
@@ -125,7 +129,7 @@ def stripped_message(raw: bytes, least: int, stored: dict[int, str], tool: str)
     return b"".join(out), count, size
 
 
-def _stripper(least: int, tool: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _stripper(least: int, tool: str, along: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, counts, sizes = [], [], []
@@ -136,26 +140,27 @@ def _stripper(least: int, tool: str) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 except Exception:  # noqa: BLE001  an unparseable message is kept byte for byte
                     new, n, size = raw, 0, 0
                 out.append(new), counts.append(n), sizes.append(size)
-            columns = [batch.column("path"), batch.column("offset"), pa.array(out, pa.binary())]
+            columns = [*(batch.column(c) for c in along), pa.array(out, pa.binary())]
             columns += [pa.array(counts, pa.int32()), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["path", "offset", "out_raw", "stripped", "stripped_bytes"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*along, "out_raw", "stripped", "stripped_bytes"])
 
     return strip
 
 
 def strip(kept: DataFrame, opts: Options, extracted: DataFrame | None = None) -> DataFrame:
-    """``path, offset, raw`` -> ``path, offset, out_raw, stripped, stripped_bytes``.
+    """``path, offset, raw`` -> ``path, offset, out_raw, stripped, stripped_bytes``, and ``sender`` where it is given.
 
     With ``extracted`` the placeholders name the saved files."""
-    rows = kept.select("path", "offset", "raw")
+    along = ["path", "offset", *(c for c in kept.columns if c == "sender")]
+    rows = kept.select(*along, "raw")
     saved = "array<struct<leaf:int,stored_as:string>>"
     if extracted is None:
         rows = rows.withColumn("__saved", F.lit(None).cast(saved))
     else:
         names = extracted.groupBy(*KEY).agg(F.collect_list(F.struct("leaf", "stored_as")).alias("__saved"))
         rows = rows.join(names, list(KEY), "left")
-    schema = "path string, offset bigint, out_raw binary, stripped int, stripped_bytes bigint"
-    return rows.mapInArrow(_stripper(opts.min_attachment_kb * 1024, opts.tool_name), schema)
+    schema = "path string, offset bigint, " + ("sender string, " if "sender" in along else "") + "out_raw binary, stripped int, stripped_bytes bigint"
+    return rows.mapInArrow(_stripper(opts.min_attachment_kb * 1024, opts.tool_name, along), schema)
 
 
 def kept_totals(stripped: DataFrame) -> DataFrame:
@@ -168,9 +173,8 @@ def kept_totals(stripped: DataFrame) -> DataFrame:
     )
 
 
-def kept_domains(stripped: DataFrame, senders: DataFrame) -> DataFrame:
-    """Messages and output bytes per sender domain; ``senders``: ``path, offset, sender``."""
-    sizes = stripped.select(*KEY, F.octet_length("out_raw").cast("long").alias("out"))
+def kept_domains(stripped: DataFrame) -> DataFrame:
+    """Messages and output bytes per sender domain of ``strip``'s rows with their senders."""
     domain = F.substring_index(F.coalesce("sender", F.lit("")), "@", -1)
-    rows = sizes.join(senders.select(*KEY, domain.alias("domain")), list(KEY))
+    rows = stripped.select(domain.alias("domain"), F.octet_length("out_raw").cast("long").alias("out"))
     return rows.groupBy("domain").agg(F.count(F.lit(1)).alias("msgs"), F.sum("out").cast("long").alias("bytes"))

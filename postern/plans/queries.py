@@ -101,8 +101,16 @@ _report(
 _DIM_KEYS = {
     "labels": ("unnest(CASE WHEN spam THEN [box, prio, 'Spam'] ELSE [box, prio] END)", "true"),
     "received_senders": ("sender", "NOT sent"),
+    "received_sender_domains": ("split_part(sender, '@', 2)", "NOT sent"),
     "received_to": ("to_", "NOT sent"),
+    "received_cc": ("cc", "NOT sent AND cc IS NOT NULL"),
     "sent_to": ("to_", "sent"),
+    "sent_cc": ("cc", "sent AND cc IS NOT NULL"),
+    "sent_bcc": ("bcc", "sent AND bcc IS NOT NULL"),
+    "sent_to_domains": (
+        "unnest(list_distinct([split_part(x, '@', 2) FOR x IN [to_, cc, bcc] IF x IS NOT NULL]))",
+        "sent",
+    ),
 }
 
 
@@ -112,7 +120,7 @@ _DIM_KEYS = {
     + f") SELECT dim, key, {AGG} FROM d GROUP BY 1, 2"
 )
 def reports_in_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.reports(_analysed(spark, sf_dir), dims=tuple(_DIM_KEYS))
+    return reports.reports(_analysed(spark, sf_dir))
 
 
 def _mb(x: str) -> str:
@@ -235,8 +243,7 @@ def drop_all_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CLASSED} SELECT k AS \"offset\", sender, bulk FROM r WHERE safe")
 def keep_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _classified(spark, sf_dir).where("reason IS NULL")
-    safe = rules.match(rows.select("sender"), rules.patterns_df(spark, rules.compile_patterns(KEEP))).select("sender")
-    return rows.join(safe, "sender", "left_semi").select("offset", "sender", "bulk")
+    return rows.where(rules.matched(F.col("sender"), rules.compile_patterns(KEEP))["_0"].isNotNull()).select("offset", "sender", "bulk")
 
 
 def _matched(name: str, wanted: list[str], case: str) -> None:
@@ -324,7 +331,7 @@ def strip_output_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kept_domains_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = rules.Rules(drop=_patterns(), keep=rules.compile_patterns(KEEP), labels=["sPAM"], bulk=True)
     p = slim_plan.plan(corpus.order_mail(spark, sf_dir), rule, rules.Options())
-    return slim.kept_domains(p.out, p.classified.select("path", "offset", "sender"))
+    return slim.kept_domains(p.out)
 
 
 _CONTENT = "sha256(repeat('p' || l_partkey || ';', CAST(l_quantity AS INT)))"
@@ -345,7 +352,7 @@ def extract_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT CAST(sum(n) AS BIGINT) AS attachments, count(*) AS files, CAST(sum(b) AS BIGINT) AS bytes FROM x"""
 )
 def extract_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slim.extract_totals(slim.extract(corpus.order_mail(spark, sf_dir), ALL))
+    return slim.extract_totals(slim.attachments(corpus.order_mail(spark, sf_dir), ALL))
 
 
 # --------------------------------------------------------------------------- text functions and sources

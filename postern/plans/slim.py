@@ -1,7 +1,7 @@
 """The reduction program: drop by rules, strip and extract attachments, write archives and audit files.
 
-Rules look at headers only; the MIME structure is walked for the survivors alone, and the bytes of a message
-are read again from the archive for output instead of being carried through the joins.
+Rules look at headers only and are decided where a message is parsed; the MIME structure is walked for the
+survivors alone, in the same stage, so the mail itself crosses no shuffle before it is written.
 """
 
 from __future__ import annotations
@@ -54,21 +54,20 @@ class Plan:
 
 
 def plan(mail: DataFrame, rule: Rules, opts: Options) -> Plan:
-    msgs = messages.analyze(mail, walk=False)
-    classified = rules.classify(msgs, rule)
-    verdict = classified.select("path", "offset", "reason")
+    """Each table comes from the mail by one scan and one parse, without a shuffle of it."""
+    classified = rules.classify(messages.analyze(mail, walk=False), rule)
     if rule:
-        kept = mail.join(verdict.where("reason IS NULL").drop("reason"), ["path", "offset"], "left_semi")
-        dropped = mail.join(verdict.where("reason IS NOT NULL").drop("reason"), ["path", "offset"], "left_semi")
+        whole = rules.classify(messages.analyze(mail, walk=False, keep_raw=True), rule).select("path", "offset", "raw", "sender", "reason")
+        kept, dropped = whole.where("reason IS NULL").drop("reason"), whole.where("reason IS NOT NULL").drop("reason")
     else:
-        kept, dropped = mail, mail.where("false")
+        kept = messages.analyze(mail, walk=False, keep_raw=True).select("path", "offset", "raw", "sender")
+        dropped = kept.where("false")
     extracted = slim.extract(kept, opts) if opts.extract else None
     if opts.strip:
         out = slim.strip(kept, opts, extracted)
     else:
-        out = kept.select(
-            "path", "offset", F.col("raw").alias("out_raw"), F.lit(0).alias("stripped"), F.lit(0).cast("long").alias("stripped_bytes")
-        )
+        none = (F.lit(0).alias("stripped"), F.lit(0).cast("long").alias("stripped_bytes"))
+        out = kept.select("path", "offset", "sender", F.col("raw").alias("out_raw"), *none)
     return Plan(classified, kept, dropped, extracted, out)
 
 
@@ -122,7 +121,7 @@ def run(spark: SparkSession, path: str, opts: SlimOptions) -> Iterator[str]:
             if n > 50:
                 yield f"  … and {n - 50} more"
         yield from _top("largest dropped senders", rules.dropped_senders(p.classified).withColumnRenamed("sender", "key"))
-        domains = slim.kept_domains(p.out, p.classified.select("path", "offset", "sender"))
+        domains = slim.kept_domains(p.out)
         yield from _top("largest remaining domains", domains.withColumnRenamed("domain", "key"))
         if not opts.dry_run:
             yield from _write(p, opts)

@@ -87,20 +87,37 @@ def write_csv(rows: DataFrame, path: str, header: Sequence[str] | None = None) -
 
 
 def write_attachments(contents: DataFrame, folder: str) -> DataFrame:
-    """``stored_as, content`` -> files in ``folder``; returns ``stored_as, is_new, warning`` (run it once)."""
+    """``stored_as, content`` -> files in ``folder``; returns ``stored_as, is_new, warning`` (run it once).
+
+    A file appears whole or not at all: it is written aside and linked into place, never over another. A file that
+    an earlier attempt of the same task left counts as new, which the time of a marker made first tells."""
+    os.makedirs(folder, exist_ok=True)
+    marker = os.path.join(folder, f".began-{uuid.uuid4().hex}")
+    with open(marker, "wb"):
+        pass
+    began = os.stat(marker).st_mtime_ns
+    os.remove(marker)
+
+    def put(name: str, content: bytes) -> bool:
+        target, draft = os.path.join(folder, name), os.path.join(folder, f".{uuid.uuid4().hex}")
+        try:
+            with open(draft, "wb") as f:
+                f.write(content)
+            os.link(draft, target)
+        except FileExistsError:
+            return os.stat(target).st_mtime_ns >= began
+        finally:
+            if os.path.exists(draft):
+                os.remove(draft)
+        return True
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
         for batch in batches:
             new, warnings = [], []
             for name, content in zip(batch.column("stored_as").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 made, warning = False, None
                 try:
-                    with open(os.path.join(folder, name), "xb") as f:
-                        f.write(content)
-                    made = True
-                except FileExistsError:
-                    pass
+                    made = put(name, content)
                 except OSError as e:
                     warning = f"could not save {name}: {e}"
                 new.append(made), warnings.append(warning)

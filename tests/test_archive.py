@@ -170,3 +170,31 @@ def test_programs(spark, archive, tmp_path, capsys):
     assert cli.main(["slim", archive, "--dry-run", "--senders", str(out / "received_sender_domains.csv")]) == 0
     assert "dry" not in capsys.readouterr().err
     assert cli.main(["slim", archive, "-o", archive, "--drop-bulk"]) == 1
+
+
+def test_rules_parse_once_and_never_shuffle_mail(spark):
+    """Rules and stripping are one stage over the archive: one scan, one parse, no join, no exchange."""
+    mail = spark.createDataFrame([("a", 0, 3, b"x")], "path string, offset bigint, length bigint, raw binary")
+    rule = rules.Rules(drop=rules.compile_patterns(["a.org", "b*"]), keep=rules.compile_patterns(["c@d.org"]), labels=["spam"], bulk=True)
+    p = slim_plan.plan(mail, rule, rules.Options(strip=True))
+    for df, parses in ((p.classified, 1), (p.kept, 1), (p.out, 2)):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert text.count("MapInArrow") == parses and text.count("ArrowEvalPython") == 1
+        assert "Exchange" not in text and "Join" not in text
+
+
+def test_matcher_agrees_with_joins(spark):
+    patterns = rules.compile_patterns(["x@a.org", "@b.org", "b.org", "sub.b.org", "c*@*", "*@a.org", "a.org", "100%*", "org", "a@b@c"])
+    senders = ["x@a.org", "y@a.org", "y@s.a.org", "z@sub.b.org", "z@xb.org", "c1@q.com", "100%@q.com", "1000@q.com", "q@q.net", "a@b@c", "org", "", None]
+    df = spark.createDataFrame([(s,) for s in senders], "sender string")
+    joined = {r.sender: r.idx for r in rules.match(df, rules.patterns_df(spark, patterns)).collect()}
+    alone = {r.sender: r.idx for r in df.select("sender", rules.matched(df["sender"], patterns)["_0"].alias("idx")).where("idx IS NOT NULL").collect()}
+    assert joined == alone and alone["x@a.org"] == 0 and alone["z@sub.b.org"] == 1 and alone["y@s.a.org"] == 6
+
+
+def test_attachment_files_survive_retries(spark, tmp_path):
+    (tmp_path / "old").write_bytes(b"before")
+    rows = spark.createDataFrame([("old", b"new"), ("a", b"1"), ("a", b"1"), ("no/way", b"2")], "stored_as string, content binary")
+    got = [(r.stored_as, r.is_new, r.warning is None) for r in files.write_attachments(rows.coalesce(1), str(tmp_path)).collect()]
+    assert got == [("old", False, True), ("a", True, True), ("a", True, True), ("no/way", False, False)]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "old"] and (tmp_path / "old").read_bytes() == b"before"
