@@ -3,9 +3,11 @@
 A dynamic program over the global length histogram chooses the bucket boundaries that minimise
 padding; inside each bucket, documents in order of length form batches under a token budget.
 
-The histogram is exact below ``EXACT`` and in steps of 1/256 of the length above, so that it has a
-few thousand cells whatever the corpus; a cell counts as its longest member, and the last boundary
-is the longest length there is. A document longer than the budget is a batch of its own; nothing is cut.
+The histogram has a cell for every length that occurs, so the boundaries are optimal for the corpus. It goes
+to the driver: its size is that of the set of different lengths, at most the number of words of the longest
+document, whatever the number of documents. Lengths are words unless the caller gives another length (such as
+the token counts of ``token_counts``), and the budget counts the same. A document longer than the budget is a batch
+of its own; nothing is cut.
 
 Defined cases: a null text has length 0; null and repeated ids are rows of their own; ties in length
 go by id; extra columns are ignored; an empty table gives no rows.
@@ -22,17 +24,12 @@ from ._words import n_words
 
 BUCKETS = 16
 BUDGET = 8192
-EXACT = 1024
 
 
 def histogram(lengths: DataFrame) -> list[tuple[int, int, int]]:
-    """(longest length, rows, sum of lengths) per cell, ascending; at most about EXACT + 256 * 54 cells."""
-    length = F.col("length")
-    bits = F.length(F.conv(length.cast("string"), 10, 2)) - 9
-    cell = F.when(length < EXACT, length).otherwise(F.expr("shiftleft(shiftright(length, __bits), __bits)"))
-    cells = lengths.withColumn("__bits", bits.cast("int")).groupBy(cell.alias("cell"))
-    rows = cells.agg(F.max("length").alias("top"), F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"))
-    return sorted((r.top, r.n, r.total) for r in rows.collect())
+    """(length, rows, sum of lengths) per length, ascending."""
+    rows = lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    return sorted((r.length, r.n, r.length * r.n) for r in rows.collect())
 
 
 def boundaries(cells: list[tuple[int, int, int]], buckets: int = BUCKETS) -> list[int]:
