@@ -12,17 +12,18 @@ Entropy cannot tell a menu whose links differ on every page from an article. Pre
 tag, role or class says what they are (``NOISE_TAGS``, ``NOISE_WORDS``) therefore have importance 0 from the
 start. The words do not count on ``html``, ``body`` and ``main`` and on what is or holds an ``article`` or
 ``main``: that is a wrapper, judged by its statistics. Inside an article (where comments are articles too) it
-has to hold more than half of the article's text to be one.
+has to hold more than half of the article's text to be one. Digits in classes and ids do not tell nodes apart
+(``post-123`` and ``post-124`` are one).
 
-``article`` and ``main`` are a prior: the nodes themselves have importance 1, and to each node inside them
-``MIN_PAGES`` pages of importance 1 are added. All other branches, also beside an article, are judged by
-entropy alone.
+Measured importance is shrunk towards 1 by ``PRIOR`` pages of importance 1, so that evidence grows with a host's
+pages without a step. ``article`` and ``main`` are a stronger prior: the nodes themselves have importance 1, and each
+node inside them has ``INSIDE`` such pages. All other branches, also beside an article, are judged by entropy alone.
 
-Defined cases: null or empty html gives an empty text; a null url has the empty host; a host with fewer
-than ``MIN_PAGES`` pages at a node has no evidence there and keeps it; repeated pages and null ids are
-rows of their own; extra columns are ignored; unclosed and stray tags are closed where the next block
-begins; an empty table gives no rows. Texts are never cut. Steps deeper than ``DEPTH`` count to their
-ancestor at that depth.
+Defined cases: null or empty html gives an empty text; a null url has the empty host; a node on one page of its
+host only has no evidence against it and stays; repeated pages and null ids (integers of any width) are rows of
+their own; extra columns are ignored; unclosed and stray tags are closed where the next block begins; an unclosed
+raw element is ordinary markup; an empty table gives no rows. Texts are never cut; time is linear in the
+bytes of a page.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,8 +43,10 @@ from ._store import written
 from .url_filters import split_url
 
 THRESHOLD = 0.2
-MIN_PAGES = 8
-DEPTH = 24
+#: Characters of a path above which the next step begins a subtree of its own.
+LONG = 2000
+#: Pages of importance 1 that count beside a node's own, elsewhere and inside an article or main.
+PRIOR, INSIDE = 2.0, 8.0
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure"
@@ -70,13 +74,13 @@ CLOSES_P = BLOCKS - {"body", "html"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<code>{'|'.join(CODE.split())})\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=code)\s*>|\Z)"
-    rf"|<(?P<raw>{'|'.join(RAW.split())})\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*>.*?</(?P=raw)\s*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/][^>]*>"
     r"|</?[a-zA-Z][^>]*>",
     re.S | re.I,
 )
+_CLOSE = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in (*CODE.split(), *RAW.split())}
+_DIGITS = re.compile(r"\d+")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -124,19 +128,29 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             open_[-1].text.append(text)
 
     at, skipped = 0, None  # skipped: the inline element outside an article that is being left out, and where it began
-    for m in _TOKEN.finditer(page):
+    never: set[str] = set()  # raw elements that no end tag follows any more
+    count = Counter()  # open elements by tag
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             buffer.append(html.unescape(page[at : m.start()]))
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
+        if tag in _CLOSE and not m["end"] and tag not in never:
+            if close := _CLOSE[tag].search(page, at):
+                at = close.end()
+                continue
+            never.add(tag)
+            if tag in CODE.split():
+                at = len(page)
+                continue
         if tag not in BLOCKS:
             if tag == "br":
                 buffer.append(" ")
             elif tag in INLINE:
                 if not m["end"]:
-                    if skipped is None and not any(n.tag in MAIN_TAGS for n in open_):
+                    if skipped is None and not any(count[t] for t in MAIN_TAGS):
                         skipped = tag, len(buffer)
                 elif skipped and skipped[0] == tag:
                     del buffer[skipped[1] :]
@@ -148,23 +162,26 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if tag in VOID:
             continue
         if m["end"]:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == tag:
-                    del open_[i:]
+            while count[tag]:
+                closed = open_.pop().tag
+                count[closed] -= 1
+                if closed == tag:
                     break
             continue
         if tag in CLOSES_P and open_[-1].tag == "p":
-            open_.pop()
+            count[open_.pop().tag] -= 1
         if tag in CLOSES_SELF and open_[-1].tag == tag:
-            open_.pop()
+            count[open_.pop().tag] -= 1
         words = [w.lower() for a in _ATTR.finditer(m["attrs"]) for w in (a[2] or a[3] or a[4] or "").split()]
         parent = open_[-1]
-        step = ".".join([tag, *words]).replace("/", "_")
+        step = ".".join([tag, *(_DIGITS.sub("0", w) for w in words)]).replace("/", "_")
         named = any(w in NOISE_WORDS for word in words for w in _WORD.findall(word))
-        path = parent.path + "/" + step if parent.path.count("/") < DEPTH else parent.path
+        # A page of nested tags alone stays linear: deep steps begin a subtree that is judged on its own.
+        path = f"{parent.path}/{step}" if len(parent.path) < LONG else f"/{_digest(parent.path):x}/{step}"
         parent.children.append(step)
         node = Node(tag, path, named, parent)
         open_.append(node)
+        count[tag] += 1
         nodes.append(node)
     buffer.append(html.unescape(page[at:]))
     flush()
@@ -232,9 +249,9 @@ def style_tree(parsed: DataFrame) -> DataFrame:
     is_main, within = F.col("path").rlike(rf"/({tags})(\.[^/]*)?$"), F.col("path").rlike(rf"/({tags})(\.[^/]*)?/")
     nodes = nodes.withColumn(
         "importance",
-        F.when((F.col("pages") < MIN_PAGES) | is_main, F.lit(1.0))
-        .when(within, (MIN_PAGES + F.col("pages") * measured) / (MIN_PAGES + F.col("pages")))
-        .otherwise(measured),
+        F.when((F.col("pages") < 2) | is_main, F.lit(1.0))
+        .when(within, (INSIDE + F.col("pages") * measured) / (INSIDE + F.col("pages")))
+        .otherwise((PRIOR + F.col("pages") * measured) / (PRIOR + F.col("pages"))),
     )
     ancestors = F.expr("transform(sequence(1, size(split(path, '/'))), i -> array_join(slice(split(path, '/'), 1, i), '/'))")
     up = nodes.select("host", F.explode(ancestors).alias("path"), "importance")

@@ -1,7 +1,10 @@
 """N-gram join, components, tokens, wavelet files, html, urls, pipeline: against brute force."""
 
+import math
 import random
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -374,3 +377,50 @@ def test_pipeline(spark, tmp_path):
     for r in out:
         taken[r.doc_id] = taken.get(r.doc_id, 0) + 1
     assert max(taken.values()) <= 3
+
+
+def test_style_tree_decides(spark):
+    """Numbered ids are one node of their host; what repeats there goes, and would stay without the tree."""
+    block = '<div id="post-{0}"><p>story {0} of its own</p></div><div id="block-{0}"><p>Read more on our partner site</p></div>'
+    page = "<html><body class='single-post post-{0} has-sidebar'>" + block + "</body></html>"
+    rows = [(i, "http://h.org/x", page.format(i)) for i in range(40)] + [(99, "http://lone.org/x", page.format(99))]
+    got = {r.page_id: r.text for r in html_extract.extracted(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i] == f"story {i} of its own" for i in range(40))
+    assert got[99] == "story 99 of its own\nRead more on our partner site"
+
+
+def test_importance_against_brute_force(spark):
+    """Importance of every node of random hosts, computed page by page."""
+    rnd, rows = random.Random(5), []
+    for i in range(60):
+        parts = "".join(f"<div class=c{'abc'[k]}><p>{rnd.choice(['x', 'y', str(i)])}</p></div>" for k in range(rnd.randint(1, 3)))
+        rows.append((i, f"http://h{i % 3}.org/", f"<html><body>{parts}</body></html>"))
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").select("page_id", "url", F.substring("url", 8, 6).alias("host"), "html")
+    tree = html_extract.style_tree(df.mapInArrow(html_extract._parse, html_extract.PARSED)).collect()
+    seen, votes = {}, set()
+    for _, url, html in rows:
+        nodes, blocks = html_extract.parse(html)
+        vote = url[7:13], tuple((n.path, t) for n, t in blocks)
+        if vote not in votes:
+            votes.add(vote)
+            for n in {n.path: n for n in nodes}.values():
+                seen.setdefault((vote[0], n.path), []).append([(tuple(m.children), "\n".join(m.text)) for m in nodes if m.path == n.path])
+    assert {(r.host, r.path) for r in tree} == set(seen)
+    for r in tree:
+        pages = seen[r.host, r.path]
+        shapes = Counter(s for page in pages for s in {c for c, _ in page})
+        texts = Counter(t for page in pages for t in {t for _, t in page if t})
+        m = sum(shapes.values())
+        want = 1.0
+        if m > 1:
+            entropy = -sum(c / m * math.log(c / m, m) for c in shapes.values())
+            content = 1 - sum(math.log(c, m) for c in texts.values()) / len(texts) if texts else 0.0
+            want = (2 + m * max(entropy, content)) / (2 + m)
+        assert abs(r.importance - want) < 1e-9, (r, want)
+
+
+@pytest.mark.parametrize("tag", ["<button>x", "<svg>y", "<noscript>", "<div>", "</p><p>z", "<div></b>", "<iframe>"])
+def test_broken_pages_take_linear_time(tag):
+    began = time.process_time()
+    html_extract.parse(tag * 30_000)
+    assert time.process_time() - began < 5
