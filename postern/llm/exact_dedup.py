@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._rank import BROADCAST_ROWS
 from ._store import written
 
 PREFIX = 64
@@ -132,7 +133,9 @@ def dedup(
     )
     fixes = written(chains.join(totals, "chain").drop("chain"), "dedup-fixes")
     runs = written(runs.where("rows > 1"), "dedup-runs")
-    out = scanned.join(F.broadcast(fixes), "run", "left").join(runs, "run", "left")
+    if fixes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        fixes = F.broadcast(fixes)
+    out = scanned.join(fixes, "run", "left").join(runs, "run", "left")
     keep_id = F.coalesce("chain_best", "best", "doc_id")
     return out.select(
         "doc_id",
