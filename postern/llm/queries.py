@@ -167,6 +167,80 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
 FROM f GROUP BY conv_id
 """
 
+# The posterior's probability below the threshold by quadrature (rate = sin(u)^2), not by the operator's continued fraction.
+_UP = "CASE WHEN {0} > 0 THEN greatest(2, 1 / least(0.999, greatest(0.001, ({1}) / {0})) - 1) ELSE 2 END"
+OP8_SQL = rf"""
+WITH cut AS (
+  SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1, 's'), '{url_filters.UPPER}', '{url_filters.LOWER}') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM cut
+), docs AS (
+  SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 WHEN toxic IS NOT NULL THEN 0 END) AS bad FROM labels GROUP BY 1
+), seen AS (
+  SELECT page_id, max(bad) AS bad FROM p JOIN docs ON doc_id = try_cast(regexp_extract(path, '/([0-9]+)(?:\.[A-Za-z]+)?/?$', 1) AS BIGINT)
+  WHERE bad IS NOT NULL GROUP BY 1
+), counts AS (
+  SELECT host, coalesce(sum(bad), 0) AS bad, count(bad) AS n FROM (SELECT DISTINCT p.host, page_id, bad FROM p LEFT JOIN seen USING (page_id)) GROUP BY 1
+), named AS (
+  SELECT *, split_part(split_part(host, '@', -1), ':', 1) AS name FROM counts
+), parted AS (
+  SELECT *, string_split(name, '.') AS l, regexp_full_match(name, '[0-9.]+') AS num,
+    array_to_string(string_split(name, '.')[-2:], '.') IN ({", ".join(f"'{x}'" for x in url_filters.SUFFIXES)}) AS two FROM named
+), h AS (
+  SELECT host, bad, n, CASE WHEN num THEN name WHEN two THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain,
+    CASE WHEN num THEN '' WHEN two THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix FROM parted
+), f AS (
+  SELECT *, sum(bad) OVER d AS db, sum(n) OVER d AS dn, sum(bad) OVER s AS sb, sum(n) OVER s AS sn, sum(bad) OVER () AS tb, sum(n) OVER () AS tn,
+    row_number() OVER (PARTITION BY domain ORDER BY host) AS di, row_number() OVER (PARTITION BY suffix ORDER BY host) AS si
+  FROM h WINDOW d AS (PARTITION BY domain), s AS (PARTITION BY suffix)
+), scatter AS (
+  SELECT 1 AS level, bad, n, (db - bad + 0.5) / (dn - n + 1.0) AS q FROM f WHERE dn > n
+  UNION ALL SELECT 2, db, dn, (sb - db + 0.5) / (sn - dn + 1.0) FROM f WHERE di = 1 AND sn > dn
+  UNION ALL SELECT 3, sb, sn, (tb - sb + 0.5) / (tn - sn + 1.0) FROM f WHERE si = 1 AND tn > sn
+), fit AS (
+  SELECT level, sum((n - 1) * q * (1 - q)) AS room, sum(n * (bad / n - q) * (bad / n - q)) - sum(q * (1 - q)) AS over
+  FROM scatter WHERE n > 0 GROUP BY 1
+), k AS (
+  SELECT coalesce(max(k) FILTER (level = 1), 2) AS k1, coalesce(max(k) FILTER (level = 2), 2) AS k2, coalesce(max(k) FILTER (level = 3), 2) AS k3
+  FROM (SELECT level, {_UP.format("room", "over")} AS k FROM fit)
+), t1 AS (
+  SELECT f.*, k1, k2, k3, bad * (k1 + 1.0) / (k1 + n) AS hb, n * (k1 + 1.0) / (k1 + n) AS hn FROM f, k
+), t2 AS (
+  SELECT *, sum(hb) OVER d AS kdb, sum(hn) OVER d AS kdn FROM t1 WINDOW d AS (PARTITION BY domain)
+), t3 AS (
+  SELECT *, kdb * (k2 + 1.0) / (k2 + kdn) AS ob, kdn * (k2 + 1.0) / (k2 + kdn) AS onn FROM t2
+), t4 AS (
+  SELECT *, sum(ob) FILTER (di = 1) OVER s AS ksb, sum(onn) FILTER (di = 1) OVER s AS ksn FROM t3 WINDOW s AS (PARTITION BY suffix)
+), t5 AS (
+  SELECT *, ksb * (k3 + 1.0) / (k3 + ksn) AS pb, ksn * (k3 + 1.0) / (k3 + ksn) AS pn FROM t4
+), c0 AS (
+  SELECT *, sum(pb) FILTER (si = 1) OVER () - pb + 0.5 AS x0, sum(pn) FILTER (si = 1) OVER () - pn + 1.0 AS y0 FROM t5
+), c1 AS (
+  SELECT *, x0 / y0 * least(k3, y0) + ksb - ob AS x1, least(k3, y0) + ksn - onn AS y1 FROM c0
+), c2 AS (
+  SELECT *, x1 / y1 * least(k2, y1) + kdb - hb AS x2, least(k2, y1) + kdn - hn AS y2 FROM c1
+), c3 AS (
+  SELECT *, x2 / y2 AS p2, least(k1, y2) AS w2 FROM c2
+), post AS (
+  SELECT host, p2 * w2 + bad AS a, (1 - p2) * w2 + n - bad AS b FROM c3
+), mass AS (
+  SELECT host, u, (2 * a - 1) * ln(sin(u)) + (2 * b - 1) * ln(cos(u)) AS m, max(m) OVER (PARTITION BY host) AS top
+  FROM post, (SELECT (i + 0.5) * pi() / 4000 AS u FROM range(2000) r(i))
+), tail AS (
+  SELECT host, sum(exp(m - top)) FILTER (sin(u) * sin(u) <= {url_filters.THRESHOLD}) / sum(exp(m - top)) AS below FROM mass GROUP BY 1
+), rules AS (
+  SELECT * FROM (VALUES {", ".join(f"('{r}', '{v}')" for r, v in url_filters.RULES)}) t(rule, says)
+), fitting AS (
+  SELECT DISTINCT host, path, rule, says FROM p JOIN rules
+    ON ('.' || host) LIKE ('%.' || split_part(rule, '/', 1)) AND starts_with(path, substr(rule, instr(rule, '/')))
+), best AS (
+  SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(says, length(rule)) AS says FROM fitting GROUP BY ALL
+)
+SELECT page_id, p.host, p.path, rule, coalesce(says, CASE WHEN below < {url_filters.DOUBT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN best ON best.host = p.host AND best.path = p.path LEFT JOIN tail ON tail.host = p.host
+"""
+
 OP10_SQL = rf"""
 WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -197,5 +271,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality_rules": OP1_SQL,
         "op2_exact_dedup": OP2_SQL,
         "op3_chat_format": OP3_SQL,
+        "op8_url_filters": OP8_SQL,
         "op10_mixing": OP10_SQL,
     }

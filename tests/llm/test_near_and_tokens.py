@@ -324,10 +324,101 @@ def test_reputation(spark):
     assert len(got) == len(rows)
     assert by_host["bad.a.com"].verdict == "block" and by_host["good.b.com"].verdict == "allow"
     assert by_host["one.c.com"].verdict == "allow"  # one outcome is not enough
-    assert by_host["new.a.com"].bad_mean > by_host["one.c.com"].bad_lower
     assert by_host["good.b.com"].bad_mean < by_host["new.a.com"].bad_mean < by_host["bad.a.com"].bad_mean
 
 
+def brute_reputation(counts, parents, threshold):
+    """Posterior of each host from all other hosts' outcomes, level by level, and its probability by quadrature."""
+    keys = [lambda h: h, lambda h: parents[h][0], lambda h: parents[h][1], lambda h: None]
+
+    def grouped(level, within):
+        groups = {}
+        for h in within:
+            groups.setdefault(keys[level](h), []).append(h)
+        return list(groups.values())
+
+    def pooled(hosts):
+        return sum(counts[h][0] for h in hosts), sum(counts[h][1] for h in hosts)
+
+    def strength(level):
+        spread = noise = room = 0.0
+        for members in grouped(level, counts):
+            bad, n = pooled(members)
+            rest_bad, rest_n = pooled([h for h in counts if keys[level + 1](h) == keys[level + 1](members[0]) and h not in members])
+            q = (rest_bad + 0.5) / (rest_n + 1)
+            if n and rest_n:
+                spread, noise, room = spread + n * (bad / n - q) ** 2, noise + q * (1 - q), room + (n - 1) * q * (1 - q)
+        return max(2.0, 1 / min(0.999, max(0.001, (spread - noise) / room)) - 1) if room else 2.0
+
+    k = [strength(level) for level in range(3)]
+
+    def told(level, hosts):
+        """What the group ``hosts`` of this level tells its parent."""
+        bad, n = pooled(hosts)
+        if level:
+            children = [told(level - 1, g) for g in grouped(level - 1, hosts)]
+            bad, n = sum(c[0] for c in children), sum(c[1] for c in children)
+        return bad * (k[level] + 1) / (k[level] + n), n * (k[level] + 1) / (k[level] + n)
+
+    out = {}
+    for h in counts:
+        p, w = 0.5, 1.0
+        for level in (2, 1, 0):
+            family = [o for o in counts if keys[level + 1](o) == keys[level + 1](h) and keys[level](o) != keys[level](h)]
+            rest = [told(level, g) for g in grouped(level, family)]
+            bad, n = sum(r[0] for r in rest), sum(r[1] for r in rest)
+            p, w = (p * w + bad) / (w + n), min(k[level], w + n)
+        a, b = p * w + counts[h][0], (1 - p) * w + counts[h][1] - counts[h][0]
+        u = (np.arange(200_000) + 0.5) * (np.pi / 2 / 200_000)
+        log = (2 * a - 1) * np.log(np.sin(u)) + (2 * b - 1) * np.log(np.cos(u))
+        mass = np.exp(log - log.max())
+        out[h] = a / (a + b), mass[np.sin(u) ** 2 <= threshold].sum() / mass.sum()
+    return out
+
+
+@pytest.mark.parametrize("broadcast_rows", [10_000, 3])
+def test_reputation_against_brute_force(spark, broadcast_rows):
+    rnd, counts, parents, pages, outcomes = random.Random(9), {}, {}, [], []
+    names = {"x.a.co.uk": ("a.co.uk", "co.uk"), "y.a.co.uk:80": ("a.co.uk", "co.uk"), "b.co.uk": ("b.co.uk", "co.uk"), "10.0.0.1": ("10.0.0.1", "")}
+    names |= {f"h{i}.d{i % 4}.{('com', 'org')[i % 2]}": (f"d{i % 4}.{('com', 'org')[i % 2]}", ("com", "org")[i % 2]) for i in range(14)}
+    names |= {"": ("", ""), "com": ("com", "com")}
+    for k, (host, above) in enumerate(names.items()):
+        n, rate = (0, 0) if k % 5 == 4 else (rnd.randrange(1, 60), rnd.choice([0.05, 0.4, 0.95]))
+        bad, parents[host] = [int(rnd.random() < rate) for _ in range(n)], above
+        counts[host] = sum(bad), n
+        for i in range(max(n, 1)):
+            row = (k * 1000 + i, f"s://{host}/p")
+            pages += [row] * (1 + (i == 0) * 3)  # a repeated page counts once
+            outcomes += [(row[0], bad[i])] * (1 + i % 2) if n else [(row[0], None)]
+    got = url_filters.judged(
+        spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame(outcomes, "page_id bigint, bad int"), broadcast_rows=broadcast_rows
+    ).collect()
+    expected = brute_reputation(counts, parents, url_filters.THRESHOLD)
+    assert len(got) == len(pages) and {r.host for r in got} == set(names)
+    for r in got:
+        mean, below = expected[r.host]
+        assert r.bad_mean == pytest.approx(mean, abs=1e-9) and r.bad_below == pytest.approx(below, abs=1e-3), r.host
+        assert r.rule or r.verdict == ("block" if below < url_filters.DOUBT else "allow")
+    assert len({r.verdict for r in got if not r.rule}) == 2
+
+
+def test_beta_cdf():
+    a = np.array([1.0, 2.0, 0.5, 5000.0, 3.0, 1e6])
+    b = np.array([1.0, 1.0, 0.5, 5000.0, 7.0, 1.0])
+    exact = [0.3, 0.09, 2 / np.pi * np.arcsin(0.3**0.5), 0.0, sum(math.comb(9, j) * 0.3**j * 0.7 ** (9 - j) for j in range(3, 10)), 0.0]
+    assert url_filters.beta_cdf(0.3, a, b) == pytest.approx(exact, abs=1e-10)
+    assert list(url_filters.beta_cdf(0, a[:1], b[:1])) == [0] and list(url_filters.beta_cdf(1, a[:1], b[:1])) == [1]
+
+
+def test_url_filters_without_rows_and_with_long_ones(spark):
+    none = spark.createDataFrame([], "page_id bigint, bad int")
+    assert url_filters.judged(spark.createDataFrame([], "page_id bigint, url string"), none).collect() == []
+    rows = [(1, "http://" + "a." * 5000 + "com/" + "x" * 100_000, "extra"), (1, None, None), (None, "no scheme", "")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, host string")
+    got = url_filters.judged(pages, spark.createDataFrame([(1, 1), (None, 1)], "page_id bigint, bad int")).collect()
+    assert len(got) == 3 and sorted(len(r.path) for r in got) == [0, 0, 100_001]
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
