@@ -17,6 +17,7 @@ from ..functions import text
 from ..operators import messages, reports, rules, slim
 from ..sinks import files
 from ..sources import mbox
+from . import hard_mail
 from . import slim as slim_plan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -439,3 +440,7 @@ def roundtrip_mbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.write_mbox(corpus.order_mail(spark, sf_dir), path)
     rows = mbox.read(spark, path, split_bytes=1_000_003, include_raw=False)
     return rows.agg(F.count(F.lit(1)).alias("msgs"), F.sum("length").cast("long").alias("bytes"))
+
+
+QUERIES |= hard_mail.QUERIES
+ORACLES |= hard_mail.ORACLES
