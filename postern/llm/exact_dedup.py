@@ -3,8 +3,8 @@
 Sampled splitters range-partition the normalised texts (by a prefix of their bytes, then their digest,
 then the identifier, so that splitters stay small and a text with very many copies is spread over
 many tasks). Spark's external sort places equal texts next to each other; neighbours are compared in
-full. Runs that reach a partition's edge are joined to their neighbours through one small table with
-the first and the last row of every partition, again by full comparison.
+full. Runs that reach a partition's edge are joined to their neighbours through a table with the first and the
+last row of every partition: one task sees their digests, and where those are equal a join compares the texts in full.
 
 Defined cases: a null text counts as empty; null identifiers sort below all others, and a group of
 only null identifiers has a null ``keep_id``; exactly one row of each group has ``kept``, also when an
@@ -119,13 +119,19 @@ def dedup(
     runs = scanned.groupBy("run").agg(best.alias("best"), F.count(F.lit(1)).alias("rows"))
     # Two rows per partition at most: does a run go on where the partition before it ended?
     sides = F.expr("CASE edge WHEN 1 THEN array(1) WHEN 2 THEN array(2) ELSE array(1, 2) END")
-    edges = scanned.where("edge > 0").select(F.explode(sides).alias("side"), "run", "edge_text")
+    edges = scanned.where("edge > 0").select(F.explode(sides).alias("side"), "run", "text_sha256", "edge_text")
+    # The one-task window sees digests only; equal ones are then compared in full, wherever their texts lie.
     along = Window.orderBy("run", "side")
-    goes_on = (F.col("side") == 1) & F.coalesce(F.lag("edge_text").over(along) == F.col("edge_text"), F.lit(False))
-    same_run = F.coalesce(F.lag("run").over(along) == F.col("run"), F.lit(False))
-    marked = edges.select("run", "side", goes_on.alias("goes_on"), same_run.alias("same_run"))
-    chain = F.sum(F.when(F.col("goes_on") | F.col("same_run"), 0).otherwise(1)).over(along)
-    chains = marked.withColumn("chain", chain).groupBy("run", "chain").agg(F.max("goes_on").alias("goes_on"))
+    before = [F.lag(c).over(along).alias(f"{c}_before") for c in ("run", "side", "text_sha256")]
+    marked = written(edges.select("run", "side", "text_sha256", *before), "dedup-edges")
+    alike = marked.where("side = 1 AND text_sha256 = text_sha256_before").select("run", "side", "run_before", "side_before")
+    here = edges.select("run", "side", F.col("edge_text").alias("text"))
+    there = edges.select(F.col("run").alias("run_before"), F.col("side").alias("side_before"), F.col("edge_text").alias("text_before"))
+    equal = alike.join(here, ["run", "side"]).join(there, ["run_before", "side_before"]).where("text = text_before")
+    marked = marked.join(equal.select("run", "side", F.lit(True).alias("goes_on")), ["run", "side"], "left")
+    goes_on, same_run = F.coalesce("goes_on", F.lit(False)), F.coalesce(F.col("run") == F.col("run_before"), F.lit(False))
+    chain = F.sum(F.when(goes_on | same_run, 0).otherwise(1)).over(along)
+    chains = marked.select("run", goes_on.alias("goes_on"), chain.alias("chain")).groupBy("run", "chain").agg(F.max("goes_on").alias("goes_on"))
     chains = written(chains, "dedup-chains")
     # Only chains need the totals of several runs; they have as many rows as partitions, twice at most.
     totals = chains.join(runs, "run").groupBy("chain").agg(
