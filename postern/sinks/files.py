@@ -4,16 +4,19 @@ attachment files that are never overwritten. Paths are local or on a file system
 from __future__ import annotations
 
 import os
+import re
 import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_field
+from ..sources import seekable
 
 BOM = "﻿"
 
@@ -28,41 +31,72 @@ def check_paths(source: str, *outputs: str | None) -> None:
         seen[real] = f"output {path}"
 
 
-def write_mbox(mail: DataFrame, path: str, column: str = "raw") -> int:
-    """Messages of ``path, offset, <column>`` in file order to one file; returns its size.
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the one of ``spark.checkpoint.dir``, which the driver and all executors see."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    named = re.sub("^file:/+", "/", named or tempfile.gettempdir())
+    if "://" in named:
+        raise RuntimeError(f"{named} is not mounted: an mbox file needs a plain path")
+    folder = f"{named.rstrip('/')}/postern-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    return folder
 
-    Tasks write sorted parts beside the target; the driver joins them as streams. A message that does not end
-    with a line break gets one, unless it is the last."""
+
+def write_mbox(mail: DataFrame, path: str, column: str = "raw", ordered: bool = False) -> int:
+    """Messages of ``path, offset, <column>`` in file order to one file; returns the size of the mail.
+
+    Tasks write sorted parts beside the target; the driver joins them as streams, each removed as it is joined. A
+    message that does not end with a line break gets one, unless it is the last. A target named ``.zst`` holds the mail
+    in the seekable format of Zstandard. ``ordered``: the mail is dealt by ranges of its key and sorted within them."""
     staging = f"{path}.{uuid.uuid4().hex}.parts"
     os.makedirs(staging)
+    packed = path.endswith(seekable.SUFFIX)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        draft, size, ended = f"{staging}/.{part}.{uuid.uuid4().hex}", 0, True
+        draft, size, ended, frames = f"{staging}/.{part}.{uuid.uuid4().hex}", 0, True, []
         with open(draft, "wb", buffering=8 << 20) as f:
+            out = seekable.Writer(f) if packed else f
             for batch in batches:
                 for raw in batch.column("raw").to_pylist():
                     if raw:
-                        size += f.write(raw if ended else b"\n" + raw)
+                        size += out.write(raw if ended else b"\n" + raw)
                         ended = raw.endswith(b"\n")
+            if packed:
+                out.flush()
+                frames = out.sizes
         os.replace(draft, f"{staging}/{part:08d}")
+        stored, held = ([pa.array([list(x)], pa.list_(pa.int32()))] for x in (zip(*frames, strict=True) if frames else ((), ())))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([size], pa.int64()), pa.array([ended])], names=["part", "size", "ended"]
+            [pa.array([part], pa.int32()), pa.array([size], pa.int64()), pa.array([ended]), *stored, *held],
+            names=["part", "size", "ended", "stored", "held"],
         )
 
-    rows = mail.select("path", "offset", F.col(column).alias("raw")).repartitionByRange("path", "offset")
-    rows = rows.sortWithinPartitions("path", "offset").select("raw")
+    rows = mail.select("path", "offset", F.col(column).alias("raw"))
+    if not ordered:
+        rows = rows.repartitionByRange("path", "offset").sortWithinPartitions("path", "offset")
     try:
-        done = sorted(rows.mapInArrow(write, "part int, size bigint, ended boolean").collect())  # one row per task
-        total, ended = 0, True
+        done = rows.select("raw").mapInArrow(write, "part int, size bigint, ended boolean, stored array<int>, held array<int>")
+        total, ended, frames = 0, True, []
         with open(f"{path}.tmp", "wb", buffering=8 << 20) as out:
-            for part, size, ends in done:
-                if not size:
-                    continue
-                total += size + (0 if ended else out.write(b"\n"))
-                with open(f"{staging}/{part:08d}", "rb") as f:
-                    shutil.copyfileobj(f, out, 8 << 20)
-                ended = ends
+            for part, size, ends, stored, held in sorted(done.collect()):  # one row per task
+                if size:
+                    if not ended:
+                        last = seekable.Writer(out) if packed else out
+                        total += last.write(b"\n")
+                        if packed:
+                            last.flush()
+                            frames += last.sizes
+                    total += size
+                    frames += zip(stored, held, strict=True)
+                    with open(f"{staging}/{part:08d}", "rb") as f:
+                        shutil.copyfileobj(f, out, 8 << 20)
+                    ended = ends
+                os.remove(f"{staging}/{part:08d}")
+            if packed:
+                out.write(seekable.table(frames))
         os.replace(f"{path}.tmp", path)
     finally:
         shutil.rmtree(staging, ignore_errors=True)

@@ -4,11 +4,13 @@
 ``path, offset, length, raw``; (path, offset) is the key and the file order. A task owns the messages whose
 separator begins in its byte range, and reads on to the next separator, so the split is exact for any range
 size. ``path`` may be a file, a folder or a glob; files that only Spark's readers can open go through
-``split_contents``. With ``includeRaw=false`` the bytes are not sent.
+``split_contents``. With ``includeRaw=false`` the bytes are not sent. Files named ``.zst`` are archives in the seekable
+format of Zstandard; offsets, lengths and ranges are those of the mail within.
 """
 
 from __future__ import annotations
 
+import contextlib
 import glob
 import mmap
 import os
@@ -19,9 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import seekable
+
 SCHEMA = "path string, offset bigint, length bigint, raw binary"
 SPLIT_BYTES = 64 << 20
 BATCH_BYTES, BATCH_ROWS = 16 << 20, 10_000
+#: Above so many ranges of a file a task takes several, one after the other: starting a task costs more than reading 1 MB.
+TASKS = 1000
 
 _ARROW = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("raw", pa.large_binary())])
 _DIGITS = re.compile(rb"[0-9]{4}\Z")
@@ -38,7 +44,7 @@ def is_separator(line: bytes, after_blank: bool) -> bool:
     return after_blank or bool(_DIGITS.search(rest))
 
 
-Buffer = bytes | mmap.mmap
+Buffer = bytes | mmap.mmap | seekable.Frames
 
 
 def separators(data: Buffer, start: int, end: int) -> Iterator[int]:
@@ -72,9 +78,18 @@ def ranges(data: Buffer, start: int, end: int) -> Iterator[tuple[int, int]]:
         yield previous, following - previous
 
 
-class ByteRange(InputPartition):
-    def __init__(self, path: str, start: int, end: int) -> None:
-        self.path, self.start, self.end = path, start, end
+class ByteRanges(InputPartition):
+    """[start, end) in ranges of ``split`` bytes, the last of what is left."""
+
+    def __init__(self, path: str, start: int, end: int, split: int) -> None:
+        self.path, self.start, self.end, self.split = path, start, end, split
+
+
+@contextlib.contextmanager
+def opened(path: str) -> Iterator[Buffer]:
+    with open(path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+        data.madvise(mmap.MADV_SEQUENTIAL)
+        yield seekable.Frames(data) if path.endswith(seekable.SUFFIX) else data
 
 
 def files_of(path: str) -> list[str]:
@@ -99,22 +114,26 @@ class MboxReader(DataSourceReader):
         out: list[InputPartition] = []
         for path in files_of(self.path):
             size = os.path.getsize(path)
+            if size and path.endswith(seekable.SUFFIX):
+                with opened(path) as data:
+                    size = len(data)
             if not size:
                 raise ValueError(f"{path} is empty")
-            out += [ByteRange(path, at, min(size, at + self.split)) for at in range(0, size, self.split)]
+            step = self.split * -(-size // (self.split * TASKS))
+            out += [ByteRanges(path, at, min(size, at + step), self.split) for at in range(0, size, step)]
         return out
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        with open(partition.path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
-            data.madvise(mmap.MADV_SEQUENTIAL)
+    def read(self, partition: ByteRanges) -> Iterator[pa.RecordBatch]:
+        with opened(partition.path) as data:
             rows: list[tuple[int, int, bytes | None]] = []
             held = 0
-            for at, n in ranges(data, partition.start, partition.end):
-                rows.append((at, n, data[at : at + n] if self.raw else None))
-                held += n * self.raw
-                if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
-                    yield self._batch(partition.path, rows)
-                    rows, held = [], 0
+            for start in range(partition.start, partition.end, partition.split):
+                for at, n in ranges(data, start, min(partition.end, start + partition.split)):
+                    rows.append((at, n, data[at : at + n] if self.raw else None))
+                    held += n * self.raw
+                    if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                        yield self._batch(partition.path, rows)
+                        rows, held = [], 0
             if rows:
                 yield self._batch(partition.path, rows)
 
